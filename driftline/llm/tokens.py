@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import base64
 import os
+import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,13 @@ PATTERN = (
     r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^" + WHITE + r"\p{L}\p{N}]+"
     r"|[" + WHITE + r"]+(?![^" + WHITE + r"])|[" + WHITE + r"]+"
 )
-MAX_CACHED = 200_000
+PLAIN_PATTERN = (
+    PATTERN.replace(r"[^" + WHITE + r"\p{L}\p{N}]", r"(?:[^" + WHITE + r"\w]|_)")
+    .replace(r"\p{L}", r"[^\W\d_]")
+    .replace(r"\p{N}", r"\d")
+)
+LONGEST_TOKEN = 128
+MAX_CACHED = 400_000
 MAX_CACHED_CHARS = 256
 
 
@@ -42,18 +49,19 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.prefixes = {b[:n] for b in ranks for n in range(1, len(b) + 1)}
-        self._pair_rank: dict[tuple[int, int], int] = {}
+        #: id of each token, and -1 for byte strings with which only longer tokens begin
+        self.table = {b[:n]: -1 for b in ranks for n in range(1, len(b) + 1)} | ranks
+        self._pair_rank: dict[int, int] = {}
         self._parts: dict[int, tuple[int, int]] = {}
         for token, rank in ranks.items():
             if len(token) > 1:
                 pair = self._made_from(token, rank)
                 if pair is not None:
                     self._parts[rank] = pair
-                    self._pair_rank[pair] = rank
-        self._spine_r: dict[int, list[tuple[int, float]]] = {}
-        self._spine_l: dict[int, list[tuple[int, float]]] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+                    self._pair_rank[pair[0] << 20 | pair[1]] = rank
+        self._fits: dict[int, bool] = {}
+        #: tokens that are the encoding of their own bytes
+        self.whole = {b: i for b, i in ranks.items() if len(b) == 1 or i in self._parts}
 
     def _made_from(self, token: bytes, rank: int) -> tuple[int, int] | None:
         """The two tokens whose merge gives ``token``, by applying the earlier merges to its bytes."""
@@ -69,36 +77,66 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return (ranks[parts[0]], ranks[parts[1]])
 
-    def _spine(self, token: int, side: int, memo: dict[int, list[tuple[int, float]]]) -> list[tuple[int, float]]:
-        """The tokens that stand at one border of ``token`` while it is being built, each with the rank that ends it."""
-        got = memo.get(token)
-        if got is None:
-            got, cur, ended = [(token, float("inf"))], token, float("inf")
-            while cur in self._parts:
-                ended, cur = cur, self._parts[cur][side]
-                got.append((cur, ended))
-            memo[token] = got
-        return got
-
     def fits(self, a: int, b: int) -> bool:
-        """Whether the encoding of the joined bytes of ``a`` and ``b`` is [a, b]."""
-        known = self._fits.get((a, b))
+        """Whether the encoding of the joined bytes of ``a`` and ``b`` is [a, b].
+
+        Goes back through the merges that made the two, the latest first; at each moment two tokens stand at the
+        border, and they must not have been merged before one of them went into a larger token.
+        """
+        known = self._fits.get(a << 20 | b)
         if known is None:
-            pair, known = self._pair_rank, True
-            for p, ended_p in self._spine(a, 1, self._spine_r):
-                for q, ended_q in self._spine(b, 0, self._spine_l):
-                    r = pair.get((p, q))
-                    # of equal ranks the merge further left comes first
-                    if r is not None and r < ended_p and r <= ended_q:
-                        known = False
-                        break
-                if not known:
+            pair, parts, p, q = self._pair_rank.get, self._parts.get, a, b
+            ended_p = ended_q = 1 << 30
+            known = True
+            while True:
+                r = pair(p << 20 | q)
+                # of equal ranks the merge further left comes first
+                if r is not None and r < ended_p and r <= ended_q:
+                    known = False
+                    break
+                of_p, of_q = parts(p), parts(q)
+                if of_p is not None and (of_q is None or p > q):
+                    ended_p, p = p, of_p[1]
+                elif of_q is not None:
+                    ended_q, q = q, of_q[0]
+                else:
                     break
             if len(self._fits) > 2_000_000:
                 self._fits.clear()
-            self._fits[a, b] = known
+            self._fits[a << 20 | b] = known
         return known
 
+    def encode(self, data: bytes) -> list[int]:
+        """Encoding of a byte string: its table of last tokens, followed backwards."""
+        one = self.whole.get(data)
+        if one is not None:
+            return [one]
+        n = len(data)
+        last = self.fill([-1] + [-2] * n, data, 0, n)
+        out, at, size = [], n, self.bytes_of
+        while at > 0:
+            t = last[at]
+            out.append(t)
+            at -= len(size[t])
+        return out[::-1]
+
+    def fill(self, last: list[int], data: bytes, start: int, stop: int) -> list[int]:
+        """Sets last[start + 1 .. stop] (-2 where unknown) from the entries up to ``start``."""
+        table, known, fits = self.table.get, self._fits.get, self.fits
+        for s in range(max(0, start - LONGEST_TOKEN + 1), stop):
+            before = last[s]
+            for e in range(s + 1, stop + 1):
+                t = table(data[s:e])
+                if t is None:
+                    break
+                if t >= 0 and last[e] == -2 and e > start:
+                    fit = before == -1 or known(before << 20 | t)
+                    if fit is None:
+                        fit = fits(before, t)
+                    if fit:
+                        last[e] = t
+        return last
+
 
 class PrefixTable:
     """Last tokens of all prefixes of a byte string; grows by ``append`` and is patched by ``edit``."""
@@ -108,31 +146,11 @@ class PrefixTable:
         self.last: list[int] = [-1]
         self.append(data)
 
-    def _fill(self, start: int, stop: int) -> None:
-        """Sets last[start+1 .. stop] from the entries up to ``start`` on."""
-        v, data, last = self.vocabulary, self.data, self.last
-        ranks, prefixes, fits, size = v.ranks, v.prefixes, v.fits, v.bytes_of
-        longest = max(0, start - 127)
-        for s in range(longest, stop):
-            before = last[s]
-            if before == -2:
-                continue
-            e = s + 1
-            while e <= stop:
-                piece = data[s:e]
-                if piece not in prefixes:
-                    break
-                if e > start and last[e] == -2:
-                    t = ranks.get(piece)
-                    if t is not None and (before == -1 or fits(before, t)):
-                        last[e] = t
-                e += 1
-
     def append(self, more: bytes) -> None:
         start = len(self.data)
         self.data += more
         self.last += [-2] * len(more)
-        self._fill(start, len(self.data))
+        self.vocabulary.fill(self.last, self.data, start, len(self.data))
 
     def edit(self, start: int, stop: int, new: bytes) -> int:
         """Replaces data[start:stop]; gives the number of table entries that had to be computed again."""
@@ -140,10 +158,10 @@ class PrefixTable:
         self.data = self.data[:start] + new + tail
         self.last = self.last[: start + 1] + [-2] * (len(new) + len(tail))
         done, step, shift = start, 64, len(new) - (stop - start)
-        reach = 128  # bytes of the longest token: as many equal entries in a row and the rest is as before
+        reach = LONGEST_TOKEN  # as many equal entries in a row and the rest is as before
         while done < len(self.data):
             to = min(len(self.data), done + step)
-            self._fill(done, to)
+            self.vocabulary.fill(self.last, self.data, done, to)
             done, agreed = to, 0
             for i in range(to, start + len(new), -1):
                 old = i - shift - stop - 1
@@ -165,15 +183,19 @@ class PrefixTable:
         return out[::-1]
 
 
+#: Numbers other than decimal digits; to the standard engine they are word characters but no digits.
+ODD_NUMBERS = frozenset(c for c in map(chr, range(0x20000)) if unicodedata.category(c) in ("Nl", "No"))
+
+
 class _Pieces(dict):
-    """Ids of the pieces met so far; a piece that is missing is encoded by its prefix table.  Bounded."""
+    """Ids (as bytes of 32-bit integers) of the pieces met so far; a missing one is encoded by its prefix table."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
 
-    def __missing__(self, text: str) -> tuple[int, ...]:
-        ids = tuple(PrefixTable(self.vocabulary, text.encode("utf-8", "surrogatepass")).ids())
+    def __missing__(self, text: str) -> bytes:
+        ids = array("i", self.vocabulary.encode(text.encode("utf-8", "surrogatepass"))).tobytes()
         if len(text) <= MAX_CACHED_CHARS:
             if len(self) >= MAX_CACHED:
                 self.clear()
@@ -189,7 +211,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.split = regex.compile(PATTERN).findall
+        self._any, self._plain = regex.compile(PATTERN).findall, re.compile(PLAIN_PATTERN).findall
         self.pieces = _Pieces(vocabulary)
 
     @classmethod
@@ -201,6 +223,11 @@ class Encoder:
             _LOADED[name, folder] = cls(Vocabulary(ranks))
         return _LOADED[name, folder]
 
+    def split(self, text: str) -> list[str]:
+        """Pieces of a text.  The faster standard engine knows no classes of letters and numbers, but without
+        numbers that are no decimal digits its word characters are the same."""
+        return (self._plain if text.isascii() or ODD_NUMBERS.isdisjoint(text) else self._any)(text)
+
     @staticmethod
     def stretches_of(text: str) -> Iterator[str]:
         """Cuts before every blank with no white space beside it: there the pattern cuts in any case."""
@@ -214,12 +241,12 @@ class Encoder:
                 held += " " + p
         yield held
 
-    def parts(self, text: str) -> Iterator[tuple[int, ...]]:
-        """Ids of each piece of a text."""
-        return map(self.pieces.__getitem__, self.split(text))
+    def packed(self, text: str | None) -> bytes:
+        """Ids of a text as bytes of 32-bit integers; empty for empty and null texts."""
+        return b"".join(map(self.pieces.__getitem__, self.split(text))) if text else b""
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(self.parts(text))) if text else []
+        return np.frombuffer(self.packed(text), dtype=np.int32).tolist()
 
 
 class TokenTape:
@@ -281,13 +308,10 @@ def encode_documents(
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.load(vocabulary, folder)
         for b in batches:
-            ids, ends = array("i"), array("i", [0])
-            for text in b.column(1).to_pylist():
-                ids.fromlist(encoder.encode(text))
-                ends.append(len(ids))
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.frombuffer(ends, dtype=np.int32)), pa.array(np.frombuffer(ids, dtype=np.int32))
-            )
+            ids = [encoder.packed(text) for text in b.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int64) // 4
+            values = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=[id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -308,7 +332,7 @@ def count_tokens(
         encoder = Encoder.load(vocabulary, folder)
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
-            n = [sum(map(len, encoder.parts(t))) if t else 0 for t in texts]
+            n = [len(encoder.packed(t)) // 4 for t in texts]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], names=[*keep, "tokens"])
 
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
