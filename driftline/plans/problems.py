@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.plans import reference
 from driftline.operators import change_feed, proximity, resample, runs, spikes, stops
 from driftline.sources.tables import table
 
@@ -54,3 +55,14 @@ QUERIES = {
     "p5_found": p5_found,
     "p6_found": p6_found,
 }
+
+#: p3, p5 and p6 are sequential per object and p4_series interpolates: tested against brute force instead.
+ORACLE = {
+    "p1_found": reference.P1,
+    "p2_found": f"WITH {reference.state()} SELECT namespace, object_id, seq FROM state",
+    "p4_found": f"""WITH slots AS (SELECT DISTINCT u.namespace, u.object_id, g.period_s::BIGINT AS p,
+        (epoch_us(u.ts) // (g.period_s * 1000000)) * g.period_s AS slot FROM update_log u JOIN grid_spec g ON u.namespace = g.namespace
+        WHERE op = 'U' AND ts IS NOT NULL AND object_id IS NOT NULL AND {reference.OK}),
+      gaps AS (SELECT *, lead(slot) OVER (PARTITION BY namespace, object_id ORDER BY slot) AS nxt FROM slots)
+      SELECT namespace, object_id, unnest(range(slot + p, nxt, p))::BIGINT AS slot_start FROM gaps WHERE nxt > slot + p""",
+}
