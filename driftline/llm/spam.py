@@ -198,7 +198,7 @@ def spam_share(text: str | None, few: int = 12) -> float:
 
 
 def spam_pages(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = 0.37, few: int = 12
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = 0.42, few: int = 12
 ) -> DataFrame:
     """``id_col`` and ``spam_share`` of the documents whose share is at least ``share``.
 
