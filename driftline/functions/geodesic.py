@@ -76,6 +76,7 @@ def _antipodal(lon: np.ndarray, u1: np.ndarray, u2: np.ndarray) -> np.ndarray:
     flip = np.where(a > 0, -1.0, 1.0)
     a, b = a * flip, b * flip
     sa, ca, sb, cb = np.sin(a), np.cos(a), np.sin(b), np.cos(b)
+    sa = np.where(sa == 0, -1e-300, sa)  # the equator counts as south of itself
 
     def at(alpha: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sal, cal = np.sin(alpha), np.cos(alpha)
@@ -140,10 +141,13 @@ def ring_area(xs: np.ndarray, ys: np.ndarray, steps: int = 32) -> float:
         p = np.array([np.cos(b1), 0.0, np.sin(b1)])
         r = np.array([np.cos(b2) * np.cos(d), np.cos(b2) * np.sin(d), np.sin(b2)])
         t = np.linspace(0, d, steps + 1)
-        # latitude at longitude t on the great circle of the auxiliary sphere through both ends
         m = np.cross(p, r)
-        tb = -(m[0] * np.cos(t) + m[1] * np.sin(t)) / m[2] if abs(m[2]) > 1e-15 else np.tan(np.linspace(b1, b2, steps + 1))
-        q = _q(np.arctan(np.tan(np.arctan(tb)) / (1 - FL)))
+        if abs(m[2]) < 1e-15:  # along a meridian: all change of longitude happens at the pole
+            total += float(_q(np.radians(np.copysign(90.0, y1 + y2)))) * d
+            continue
+        # latitude at longitude t on the great circle of the auxiliary sphere through both ends
+        tb = -(m[0] * np.cos(t) + m[1] * np.sin(t)) / m[2]
+        q = _q(np.arctan(tb / (1 - FL)))
         w = np.ones(steps + 1)
         w[1:-1:2], w[2:-1:2] = 4, 2
         total += float((w * q).sum()) * d / steps / 3
