@@ -110,6 +110,13 @@ def _shape(kind: str, text: str, words: int, separators: int, links: int) -> tup
     return kind, _step(words), _capitals(text), _step(separators), _step(links)
 
 
+def _pieces(body: str) -> list[str]:
+    return [p for p in (s.strip() for s in SEPARATOR.split(body)) if p]
+
+
+_CODE = _shape("code", "", 0, 0, 0)
+
+
 def _repeats_itself(words: list[str]) -> bool:
     """A long line of few words whose neighbours recur, as sentences' words don't."""
     pairs = Counter(pairwise(words))
@@ -123,29 +130,37 @@ def shapes(text: str) -> tuple[float, Counter]:
     """Amount of text (characters without white space) and the amount of each shape."""
     total, found = 0.0, Counter()
     units: list[tuple[str, float, list[str], bool]] = []  # text, amount, words, whether it is a whole line
-    for line in logical_lines(text):
-        line = ENCODED.sub("", INVISIBLE.sub("", line))
+    whole = "\n".join(logical_lines(text))
+    for line in ENCODED.sub("", INVISIBLE.sub("", whole)).split("\n"):
         n = _size(line)
         if not n:
             continue
         total += n
         body = LEAD.sub("", line).strip()
-        links = len(LINK.findall(body))
+        links = len(LINK.findall(body)) if "/" in body or "www." in body else 0
         if links:
             words = words_of(MARKUP.sub(" ", LINK.sub(" ", body)).lower())
             if len(words) <= 10 * links:
                 found[_shape("links", "", len(words), 0, links)] += n
                 continue
-        body = MARKUP.sub(" ", body).strip()
-        pieces = [p for p in (s.strip() for s in SEPARATOR.split(body)) if p]
-        tags = sum(1 for p in pieces if TAG.match(p))
-        lone = len(pieces) == 1 and body[:1] == "#"
-        if pieces and tags >= 0.7 * len(pieces) and (len(pieces) >= 8 or lone) or len(ARTICLE.findall(body)) >= 8:
-            found[_shape("tags", "", 0, len(pieces), 0)] += n
+        if "<" in body:
+            body = MARKUP.sub(" ", body).strip()
+        # the counts only spare most lines the closer look
+        hints = body.count("#") + body.count("tag:") + body.count("=")
+        if hints >= 6 or body[:1] == "#":
+            pieces = _pieces(body)
+            tags = sum(1 for p in pieces if TAG.match(p))
+            listed = len(pieces) >= 8 or (len(pieces) == 1 and body[:1] == "#")
+            if pieces and listed and tags >= 0.7 * len(pieces):
+                found[_shape("tags", "", 0, len(pieces), 0)] += n
+                continue
+        if body.count("-") >= 8 and len(ARTICLE.findall(body)) >= 8:
+            found[_shape("tags", "", 0, 0, 0)] += n
             continue
         if not links and len(body) < 400 and CODE.search(body):
-            found[_shape("code", "", 0, 0, 0)] += n
+            found[_CODE] += n
             continue
+        pieces = _pieces(body)
         low = body.lower()
         words = words_of(low)
         if len(words) >= LONG_LINE_WORDS:

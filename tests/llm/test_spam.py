@@ -44,7 +44,7 @@ FINE = {
     "repeated lines": PROSE + "\n" + CODE + RETRY,
     "table": PROSE + "\n" + CODE + TABLE,
     "word list": PROSE + "\n" + CODE + WORDLIST,
-    "references": "\n\n".join([PROSE] * 12) + "\n" + CODE + REFERENCES,
+    "references": "\n\n".join([PROSE] * 16) + "\n" + CODE + REFERENCES,
     "blank": " \n\t\n",
     "empty": "",
     "null": None,
