@@ -83,7 +83,7 @@ def replay(
         .groupBy(*KEY, "batch")
         .agg(F.max(image).alias("image"))
     )
-    images = summary.where(F.col("image").isNotNull() & ~stale).select(*KEY, "batch", "image").unionByName(redone)
+    images = summary.where(F.col("image").isNotNull() & ~stale).select(*KEY, "batch", "image").unionByName(cut(redone))
 
     # Newest batch first; keys whose delete was met in a newer batch are resolved.
     taken = []
