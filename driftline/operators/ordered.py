@@ -19,7 +19,9 @@ import pickle
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any, Protocol
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,13 +64,23 @@ def shards(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_sh
     return cut(ranged.withColumn("shard", F.spark_partition_id()))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], op: Scan) -> Iterator[tuple]:
-    """(shard, object, columns as plain lists) of the shard's rows, in order."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], order: Sequence[str], op: Scan) -> Iterator[tuple]:
+    """(shard, object, columns as plain lists) of the shard's rows, in order.
+
+    Rows equal in keys and order are copies of which one stays: range partitioning keeps them in one shard, side by side.
+    """
     got = [b for b in batches if b.num_rows]
     if not got:
         return
     table = pa.Table.from_batches(got)
     shard = table.column("shard")[0].as_py()
+    new = np.zeros(table.num_rows, dtype=bool)
+    new[0] = True
+    for k in (*keys, *order):
+        v = table.column(k).combine_chunks()
+        new[1:] |= pc.not_equal(v[1:], v[:-1]).to_numpy(zero_copy_only=False)
+    if not new.all():
+        table = table.filter(pa.array(new))
     cols = {k: table.column(k).to_pylist() for k in table.column_names if k != "shard"}
     parts = list(zip(*[cols.pop(k) for k in keys], strict=True))
     start, n = 0, len(parts)
@@ -80,12 +92,12 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], op: Scan) ->
             start = i
 
 
-def _left_behind(op: Scan, keys: Sequence[str], entered: dict[int, bytes], first_shard: int | None) -> Callable:
+def _left_behind(op: Scan, keys: Sequence[str], by: Sequence[str], entered: dict[int, bytes], first_shard: int | None) -> Callable:
     """Pass 1 and 2: the state after each shard, as far as it can be known."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, last = 0, None
-        for last in _groups(batches, keys, op):
+        for last in _groups(batches, keys, by, op):
             count += 1
         if last is None:
             return
@@ -106,15 +118,15 @@ def _left_behind(op: Scan, keys: Sequence[str], entered: dict[int, bytes], first
     return f
 
 
-def scan(sorted_shards: DataFrame, keys: Sequence[str], op: Scan, schema: str) -> DataFrame:
-    """Runs ``op`` over the shards; ``emit(*values)`` gives rows of ``schema`` (a DDL string)."""
-    keys = list(keys)
+def scan(sorted_shards: DataFrame, keys: Sequence[str], by: Sequence[str], op: Scan, schema: str) -> DataFrame:
+    """Runs ``op`` over shards sorted by (keys, by), without null in either; ``emit(*values)`` gives rows of ``schema``."""
+    keys, by = list(keys), list(by)
     after: dict[int, bytes] = {}
     order: list[int] = []
     entered: dict[int, bytes] = {}
     todo: DataFrame = sorted_shards
     while True:
-        rows = todo.mapInArrow(_left_behind(op, keys, entered, order[0] if order else None), STATE).collect()
+        rows = todo.mapInArrow(_left_behind(op, keys, by, entered, order[0] if order else None), STATE).collect()
         order = order or sorted(r.shard for r in rows)
         for r in rows:
             # the very first shard is entered with nothing, which is learnt only now
@@ -142,7 +154,7 @@ def scan(sorted_shards: DataFrame, keys: Sequence[str], op: Scan, schema: str) -
             out.clear()
             return b
 
-        for shard, key, cols in _groups(batches, keys, op):
+        for shard, key, cols in _groups(batches, keys, by, op):
             if first and shard in entering.value:
                 open_ = pickle.loads(entering.value[shard])
             first = False

@@ -77,7 +77,7 @@ class RunScan:
 
 
 def trajectory_events(batches: DataFrame) -> DataFrame:
-    """The distinct usable elements of all rows of an object: namespace, object_id, x, y, ts (epoch seconds).
+    """The usable elements of all rows of an object: namespace, object_id, x, y, ts (epoch seconds), copies included.
 
     Null and empty arrays give no event; elements with a null, non-finite or out-of-range field or a negative
     ``ts`` and rows with a null key are left out; further columns are ignored.
@@ -87,7 +87,7 @@ def trajectory_events(batches: DataFrame) -> DataFrame:
         .select(*KEY, F.explode("points").alias("p"))
         .select(*KEY, *[(F.col(f"p.{k}") + F.lit(0.0)).alias(k) for k in ("x", "y", "ts")])
     )
-    return p.where(usable(z=None) & F.coalesce(F.col("ts").between(0.0, 1e15), F.lit(False))).distinct()
+    return p.where(usable(z=None) & F.coalesce(F.col("ts").between(0.0, 1e15), F.lit(False)))
 
 
 def boundaries(events: DataFrame, near_m: float, gap_s: float, rows_per_shard: int = 65_536) -> DataFrame:
@@ -96,6 +96,7 @@ def boundaries(events: DataFrame, near_m: float, gap_s: float, rows_per_shard: i
     return scan(
         s,
         KEY,
+        ["ts", "x", "y"],
         RunScan(near_m, gap_s),
         "namespace string, object_id string, shard int, pos bigint, ts double, prev_ts double",
     )
@@ -109,7 +110,7 @@ def collapse_runs(
     A run begins with an event and takes in each next event within ``near_m`` metres of the run's first event
     and at most ``gap_s`` seconds after the event before it; otherwise a new run begins.
 
-    Defined cases: ``events`` as from ``trajectory_events``; events of equal time are taken in the order of
+    Defined cases: ``events`` as from ``trajectory_events``; equal events count once; events of equal time are taken in the order of
     (x, y); an event alone is a run of one with duration zero; no events give no runs.
     """
     b = boundaries(events, near_m, gap_s, rows_per_shard)

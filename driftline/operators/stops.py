@@ -36,12 +36,15 @@ class StopScan:
     A confirmed stop is (first ping, last ping there, number of pings there).
     """
 
-    def __init__(self, radius_m: float, min_stop_s: float, max_away: int):
+    def __init__(self, radius_m: float, min_stop_s: float, max_away: int, max_speed: float):
         self.radius_m, self.min_us, self.max_away = radius_m, round(min_stop_s * 1e6), max_away
+        self.max_speed = max_speed
 
     def prepare(self, cols: dict[str, list]) -> None:
-        x, y = np.asarray(cols["x"], dtype=float), np.asarray(cols["y"], dtype=float)
+        """Path length within the shard; legs faster than ``max_speed`` belong to jumps and count as nothing."""
+        x, y, us = (np.asarray(cols[k], dtype=float) for k in ("x", "y", "us"))
         legs = meters_np(x[:-1], y[:-1], x[1:], y[1:])
+        legs[legs > self.max_speed * np.diff(us) / 1e6] = 0.0
         cols["m"] = [0.0, *np.cumsum(legs).tolist()]
 
     def safe_cut(self, cols: dict[str, list]) -> int:
@@ -67,6 +70,8 @@ class StopScan:
         key, buf, stop, away, prev = state
         if emit is not None:
             lead_in = meters(prev[0], prev[1], cols["x"][0], cols["y"][0]) if prev else 0.0
+            if prev and lead_in > self.max_speed * (cols["us"][0] - prev[2]) / 1e6:
+                lead_in = 0.0
             emit(*key, "path", None, None, None, None, len(cols["x"]), shard, lead_in, shard, cols["m"][-1])
         pings = [(x, y, us, seq, shard, m) for x, y, us, seq, m in zip(*[cols[k] for k in ("x", "y", "us", "seq", "m")], strict=True)]
         buf, stop, away = self._advance(key, buf, stop, away, pings, emit)
@@ -125,12 +130,11 @@ class StopScan:
 
 
 def pings(feed: DataFrame) -> DataFrame:
-    """Usable U records with a time, redelivered copies (same seq) once: namespace, object_id, us, seq, x, y."""
+    """Usable U records with a time: namespace, object_id, us, seq, x, y (redelivered copies are still there)."""
     return (
         feed.where((F.col("op") == "U") & usable() & F.col("ts").isNotNull())
         .where(F.col("namespace").isNotNull() & F.col("object_id").isNotNull())
         .select(*KEY, F.unix_micros("ts").alias("us"), "seq", "x", "y")
-        .dropDuplicates([*KEY, "us", "seq"])
     )
 
 
@@ -140,18 +144,20 @@ def stops_and_trips(
     radius_m: float = 100.0,
     min_stop_s: float = 300.0,
     max_away: int = 2,
+    max_speed: float = 100.0,
     rows_per_shard: int = 65_536,
 ) -> DataFrame:
     """One row per stop and per trip between successive stops, from ``pings``.
 
     Columns: namespace, object_id, kind, start_seq, end_seq, start_ts, end_ts, duration_s, distance_m (path
-    length along the pings; of a trip from the last ping of one stop to the first of the next), pings (of stops).
+    length along the pings; of a trip from the last ping of one stop to the first of the next; legs faster than
+    ``max_speed`` m/s are jumps and left out), pings (of stops).
 
-    Defined cases: pings of equal time are taken in order of seq; one or two pings away and back, and silence,
+    Defined cases: redelivered copies (same time and seq) count once; pings of equal time are taken in order of seq; one or two pings away and back, and silence,
     do not end a stop; an object with fewer than two stops has no trip; no pings give no rows.
     """
     s = shards(readings, KEY, ["us", "seq"], rows_per_shard)
-    rows = cut(scan(s, KEY, StopScan(radius_m, min_stop_s, max_away), SCHEMA))
+    rows = cut(scan(s, KEY, ["us", "seq"], StopScan(radius_m, min_stop_s, max_away, max_speed), SCHEMA))
     path = rows.where(F.col("kind") == "path")
     w = Window.partitionBy(*KEY).orderBy("start_shard")
     before = F.coalesce(F.sum(F.col("start_m") + F.col("end_m")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))

@@ -485,7 +485,7 @@ def insert_trajectory(spark: SparkSession, sf: str) -> DataFrame:
     " (SELECT DISTINCT namespace, object_id, x + 0.0 AS x, y + 0.0 AS y, ts FROM uploaded) GROUP BY ALL"
 )
 def trajectory_event_counts(spark: SparkSession, sf: str) -> DataFrame:
-    events = trajectory_events(table(spark, sf, "trajectory_in"))
+    events = trajectory_events(table(spark, sf, "trajectory_in")).distinct()
     return events.groupBy("namespace", "object_id").agg(F.count("*").alias("events"))
 
 
