@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.geo import bbox_contains, haversine, ring_edges, ring_position, usable
 from driftline.operators.grid import SphereGrid, plane_boxes, plane_points
+from driftline.session import cut
 
 KEY = ["namespace", "object_id"]
 
@@ -144,7 +145,7 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
 
 def relations(points: DataFrame, zones: DataFrame, fences: DataFrame, radius: float = 50.0) -> DataFrame:
     """Near pairs, boxes and fences of all current locations: rel, namespace, key_a, key_b."""
-    here = current_locations(points)
+    here = cut(current_locations(points).select(*KEY, "x", "y", "z"))  # used five times
     near = near_pairs(here, radius).select(F.lit("near").alias("rel"), "namespace", "key_a", "key_b")
     zone = points_in_boxes(here, zones).select(
         F.lit("zone").alias("rel"), "namespace", F.col("object_id").alias("key_a"), F.col("key").alias("key_b")
