@@ -33,41 +33,62 @@ def radius_join(
     return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("rank")
 
 
-def all_knn(current: DataFrame, k: int, *, start_radius: float = 2_000.0, growth: float = 16.0) -> DataFrame:
-    """The ``k`` nearest other objects of the same namespace for every object: ..., neighbor_id, distance, rank.
+def knn_join(
+    current: DataFrame,
+    probes: DataFrame,
+    k: int,
+    *,
+    exclude: str | None = None,
+    start_radius: float = 2_000.0,
+    growth: float = 4.0,
+) -> DataFrame:
+    """The ``k`` nearest objects of its namespace for each probe: probe_id, namespace, neighbor_id, distance, rank.
 
-    Rings of growing radius: a probe is settled once ``k`` neighbours lie within the ring's radius; only unsettled
-    probes go on to the next, larger ring, and the last ring spans the globe, where few sparse probes are left.
-    Distances are 3-D great-circle metres; ties by neighbour id; namespaces with fewer objects give fewer rows.
+    ``probes``: probe_id, namespace, x, y, z; ``exclude`` names a column of object_ids that are no neighbour of their
+    probe.  Rings of growing radius: a probe is settled once ``k`` neighbours lie within the ring's radius, so only
+    unsettled probes go on to the next, larger ring; the last ring spans the globe.  Distances are 3-D great-circle
+    metres, ties by neighbour id; a namespace with fewer objects gives fewer rows; probes in unknown namespaces none.
     """
-    pts = cut(current.select(*KEY, "x", "y", "z"))
-    sizes = pts.groupBy("namespace").agg((F.count("*") - 1).alias("others"))
-    todo = pts.join(sizes, "namespace").where(F.col("others") > 0)
+    pts = cut(current.select("namespace", F.col("object_id").alias("neighbor_id"), "x", "y", "z"))
+    own = F.col(exclude) if exclude else F.lit(None).cast("string")
+    sizes = pts.groupBy("namespace").agg((F.count("*") - (1 if exclude else 0)).alias("others"))
+    cols = ["probe_id", "namespace", "p_x", "p_y", "p_z", "own_id", "others"]
+    todo = probes.select("probe_id", "namespace", *[F.col(c).alias(f"p_{c}") for c in "xyz"], own.alias("own_id"))
+    todo = todo.join(sizes, "namespace").where(F.col("others") > 0).select(*cols)
     out, radius = None, float(start_radius)
-    w = Window.partitionBy(*KEY).orderBy("distance", "neighbor_id")
+    w = Window.partitionBy("probe_id").orderBy("distance", "neighbor_id")
+    d = haversine_3d("p_x", "p_y", "p_z", "x", "y", "z")
     while True:
         last = radius > 2.1e7
         if last:
-            probes = todo.select(*KEY, "others", *[F.col(c).alias(f"p_{c}") for c in "xyz"])
-            pair = probes.join(pts.withColumnRenamed("object_id", "neighbor_id"), "namespace")
+            pair = todo.join(pts, "namespace")
         else:
             grid = SphereGrid(radius)
-            probes = todo.select(*KEY, "others", *[F.col(c).alias(f"p_{c}") for c in "xyz"])
-            home = grid.home(pts.withColumnRenamed("object_id", "neighbor_id"))
-            pair = grid.reach(probes, "p_x", "p_y").join(home, ["namespace", "g_row", "g_col"])
-        d = haversine_3d("p_x", "p_y", "p_z", "x", "y", "z")
-        near = pair.where(F.col("neighbor_id") != F.col("object_id")).withColumn("distance", d)
+            pair = grid.reach(todo, "p_x", "p_y").join(grid.home(pts), ["namespace", "g_row", "g_col"])
+        near = pair.where(F.col("own_id").isNull() | (F.col("neighbor_id") != F.col("own_id"))).withColumn("distance", d)
         if not last:
             near = near.where(F.col("distance") <= radius)
         top = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        top = cut(top.select(*KEY, "neighbor_id", "distance", "rank", "others"))
-        full = top.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("others").alias("others"))
-        full = full.where(last | (F.col("n") >= F.least(F.lit(k), F.col("others")))).select(*KEY)
-        settled = top.drop("others").join(full, KEY, "left_semi")
+        top = cut(top.select("probe_id", "namespace", "neighbor_id", "distance", "rank", "others"))
+        full = top.groupBy("probe_id").agg(F.count("*").alias("n"), F.max("others").alias("others"))
+        full = full.where(F.lit(last) | (F.col("n") >= F.least(F.lit(k), F.col("others")))).select("probe_id")
+        settled = top.drop("others").join(full, "probe_id", "left_semi")
         out = settled if out is None else out.unionByName(settled)
         if last:
             return out
-        todo = cut(todo.join(full, KEY, "left_anti"))
+        todo = cut(todo.join(full, "probe_id", "left_anti"))
         if todo.isEmpty():
             return out
         radius *= growth
+
+
+def all_knn(current: DataFrame, k: int, **options: float) -> DataFrame:
+    """The ``k`` nearest other objects for every object: namespace, object_id, neighbor_id, distance, rank."""
+    probes = current.select(F.struct(*KEY).alias("probe_id"), *KEY, "x", "y", "z")
+    got = knn_join(current, probes, k, exclude="object_id", **options)
+    return got.select("namespace", "probe_id.object_id", "neighbor_id", "distance", "rank")
+
+
+def lookup(current: DataFrame, keys: DataFrame) -> DataFrame:
+    """Current rows of many objects at once: ``keys`` has namespace and object_id; unknown ones have no row."""
+    return current.join(keys.select(*KEY).distinct(), KEY, "left_semi")

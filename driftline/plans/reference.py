@@ -6,17 +6,21 @@ both sides, since the last bits of trigonometric functions differ between engine
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions import geo, geodesic, geojson, namespaces, validate
-from driftline.operators import batch, geometry, history, proximity, spatial
+from driftline.operators import batch, geometry, history, index, proximity, spatial
 from driftline.operators import stats as counters
 from driftline.operators.change_feed import replay
 from driftline.operators.runs import trajectory_events
+from driftline.session import ensure_checkpoint_dir
+from driftline.sources import logio
 from driftline.sources.tables import table
+from driftline.streaming import latest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -659,3 +663,90 @@ def stats(spark: SparkSession, sf: str) -> DataFrame:
 def validation_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     _, bad = validate.quarantine(feed(spark, sf))
     return bad.groupBy("problem").agg(F.count("*").alias("n"))
+
+
+# --- index tables, files, streams -------------------------------------------------------------------
+
+
+@query(f"WITH {LOC} SELECT count(DISTINCT namespace) AS namespaces, count(*) AS points FROM loc")
+def index_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return index.index_stats(locations(spark, sf))
+
+
+@query(f"WITH {LOC} SELECT x, y FROM loc WHERE namespace = '{NS}'")
+def namespace_points(spark: SparkSession, sf: str) -> DataFrame:
+    return index.namespace_points(locations(spark, sf), NS)
+
+
+@query(
+    f"WITH {LOC} SELECT namespace, object_id, x, y FROM loc WHERE (namespace, object_id) NOT IN"
+    " (SELECT (namespace, object_id) FROM update_log WHERE namespace IS NOT NULL AND object_id IS NOT NULL)"
+)
+def remove_entry(spark: SparkSession, sf: str) -> DataFrame:
+    """Index entries without the objects of the change feed."""
+    return index.remove(locations(spark, sf), feed(spark, sf)).select("namespace", "object_id", "x", "y")
+
+
+@query(
+    f"WITH {LOC} SELECT object_id, round({hav('x', 'y', X, Y)}, 3) AS distance FROM loc WHERE namespace = '{NS}'"
+    f" ORDER BY {hav('x', 'y', X, Y)}, object_id LIMIT 20"
+)
+def knn_by_metric(spark: SparkSession, sf: str) -> DataFrame:
+    got = spatial.knn_metric(spatial.of_namespace(locations(spark, sf), NS), CENTER[:2], 20)
+    return rounded(got.select("object_id", "distance"))
+
+
+@query(
+    f"WITH {LOC}, probe AS ({ZONE_CENTERS}), near AS (SELECT p.namespace, p.key, px, py, l.object_id AS neighbor_id,"
+    f" {hav3('p.px', 'p.py', '0.0', 'l.x', 'l.y', 'l.z')} AS d FROM probe p JOIN loc l ON p.namespace = l.namespace)"
+    " SELECT namespace, key, neighbor_id, round(d, 3) AS distance FROM near"
+    " QUALIFY row_number() OVER (PARTITION BY namespace, key, px, py ORDER BY d, neighbor_id) <= 5"
+)
+def knn_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Five nearest objects of the centre of every zone."""
+    z = table(spark, sf, "zone_in").where(F.col("key").isNotNull())
+    z = z.where((F.col("min_x") <= F.col("max_x")) & (F.col("min_y") <= F.col("max_y")))
+    mid = lambda k: ((F.col(f"min_{k}") + F.col(f"max_{k}")) / 2).alias(k)
+    probes = z.select("namespace", "key", mid("x"), mid("y"), F.lit(0.0).alias("z")).distinct()
+    probes = probes.withColumn("probe_id", F.struct("namespace", "key", "x", "y"))
+    got = batch.knn_join(locations(spark, sf), probes, 5, start_radius=20_000.0, growth=16.0)
+    return rounded(got.select("namespace", "probe_id.key", "neighbor_id", "distance"))
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """A fresh folder beside the checkpoints, which every executor can see."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+
+
+@query(
+    f"WITH {APPLIED} SELECT namespace, object_id, op, count(*) AS n, round(sum(round(x, 6)), 3) AS sum_x, round(sum(round(y, 6)), 3) AS sum_y"
+    " FROM applied WHERE NOT regexp_matches(namespace, '[|\\n\\r]|::') GROUP BY ALL"
+)
+def log_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """The applicable records written as a text log and read back."""
+    key = ["namespace", "object_id"]
+    good, _ = validate.quarantine(feed(spark, sf).where(F.col("seq").isNotNull()))
+    folder = _shared_folder(spark)
+    logio.write_log(good.select(*key, "op", "seq", "ts", "x", "y", "z", "metadata").distinct(), folder)
+    total = lambda k: F.round(F.sum(F.round(k, 6)), 3).alias(f"sum_{k}")
+    return logio.read_log(spark, folder).groupBy(*key, "op").agg(F.count("*").alias("n"), total("x"), total("y"))
+
+
+@query(
+    f"WITH {APPLIED} SELECT namespace, object_id, seq, x, y FROM applied WHERE op = 'U'"
+    " QUALIFY row_number() OVER (PARTITION BY namespace, object_id ORDER BY ts DESC, seq DESC) = 1"
+)
+def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed as a stream: latest U record per object, kept by a stateful aggregation."""
+    schema = feed(spark, sf).schema
+    folder = _shared_folder(spark)
+    # a pattern, since a stream's path may otherwise not be a single file
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/update_log.parque[t]")
+
+    def keep(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/state")
+
+    writer = latest.latest_state(stream).writeStream.outputMode("complete").foreachBatch(keep)
+    writer.trigger(availableNow=True).option("checkpointLocation", f"{folder}/progress").start().awaitTermination()
+    return spark.read.parquet(f"{folder}/state").select("namespace", "object_id", "seq", "x", "y")
