@@ -38,11 +38,12 @@ def _moving_median(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def _quantum(v: np.ndarray) -> float:
-    """Step of a coarsely recorded coordinate: the smallest difference that occurs, 0 if values hardly repeat."""
-    u = np.unique(np.round(v, 9))
-    if len(u) < 2 or len(u) > 0.7 * len(v):
-        return 0.0
-    return float(np.quantile(np.diff(u), 0.1))
+    """Step in which a coordinate is recorded: the power of ten of which nearly all values are multiples."""
+    for digits in range(7):
+        scaled = v * 10.0**digits
+        if np.mean(np.abs(scaled - np.round(scaled)) < 1e-6) >= 0.95:
+            return 10.0**-digits
+    return 0.0
 
 
 def _scale(r: np.ndarray, floor: float, width: int = 31) -> np.ndarray:
@@ -94,7 +95,7 @@ def _block_tests(t: np.ndarray, tracks: list[np.ndarray], floors: list[float], c
 
 
 def judge(
-    us: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray, *, cut: float = 8.0, stuck_run: int = 8, rounds: int = 4
+    us: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray, *, cut: float = 10.0, stuck_run: int = 8, rounds: int = 4
 ) -> np.ndarray:
     """Reason per reading ('' if it is fine) for one source's readings in (ts, seq) order; NaN marks nulls."""
     n = len(x)
@@ -129,7 +130,9 @@ def judge(
     north = np.radians(y[keep] - lat0) * EARTH_RADIUS_M
     plane, alt, t = np.column_stack([east, north]), z[keep], (us[keep] - us[keep[0]]) / 1e6
     t = t + np.arange(len(t)) * 1e-9
-    floors = [max(0.5, 0.3 * _quantum(east), 0.3 * _quantum(north)), max(0.02, 0.3 * _quantum(alt))]
+    degree = np.radians(1.0) * EARTH_RADIUS_M
+    step = max(_quantum(x[keep]) * np.cos(np.radians(lat0)), _quantum(y[keep])) * degree
+    floors = [max(0.5, 0.3 * step), max(0.02, 0.3 * _quantum(alt))]
     out = np.zeros(len(keep), dtype=bool)
     for _ in range(rounds):
         rest = np.flatnonzero(~out)
@@ -192,7 +195,7 @@ def _sharded(readings: DataFrame, shard_rows: int) -> DataFrame:
     return r.withColumn("own", F.col("shard") == F.col("j")).select(*readings.columns, "shard", "own")
 
 
-def flag_readings(feed: DataFrame, *, cut: float = 8.0, stuck_run: int = 8, shard_rows: int = 50_000) -> DataFrame:
+def flag_readings(feed: DataFrame, *, cut: float = 10.0, stuck_run: int = 8, shard_rows: int = 50_000) -> DataFrame:
     """Wrong readings: namespace, object_id, seq, ts, reason (limit, placeholder, stuck or spike).
 
     Readings are the U records of ``feed``, redelivered copies (same seq) once, in (ts, seq) order of their object;
