@@ -3,19 +3,21 @@
 Sizes of the sources are summed map-side; the filling itself works on the few listed sources on the driver.
 A source whose target exceeds its size times its cap is clamped there, and what it cannot give is spread over the
 others in proportion to their targets, until nothing exceeds a cap.  Each document is then repeated a whole number
-of times, and once more with the fractional rest as probability, decided by a seeded hash of its id, so the result
-doesn't depend on the partitioning and needs no shuffle.
+of times, and the fractional rest is drawn by a seeded hash of the ids, so the result doesn't depend on the partitioning
+and only small totals are shuffled.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of the table of targets that are worked off on the driver.
 MAX_SOURCES = 10_000
+#: Steps in which a fractional repetition is drawn.
+BUCKETS = 4_096
 
 
 @dataclass
@@ -80,17 +82,27 @@ def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> li
 
 
 def repeats(sizes: DataFrame, shares: list[Share], *, id_col: str = "doc_id", seed: int = 42) -> DataFrame:
-    """The documents that are used: ``id_col``, source, tokens, repeats (1 or more, never above the source's cap)."""
+    """The documents that are used: ``id_col``, source, tokens, repeats (1 or more, never above the source's cap).
+
+    Every document is used the whole number of times; those whose seeded hash falls into the lowest of ``BUCKETS``
+    buckets once more, as many buckets as come nearest to the fractional rest in tokens.
+    """
     spark = sizes.sparkSession
-    table = spark.createDataFrame(
-        [(s.source, s.repeats) for s in shares if s.repeats > 0], "source string, times double"
+    rows = [(s.source, int(s.repeats), (s.repeats - int(s.repeats)) * s.size) for s in shares if s.repeats > 0]
+    table = F.broadcast(spark.createDataFrame(rows, "source string, whole int, rest double"))  # MAX_SOURCES rows at most
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(BUCKETS)).cast("int")
+    listed = sizes.join(table, "source").withColumn("bucket", bucket)
+    w = Window.partitionBy("source").orderBy("bucket")  # BUCKETS rows at most
+    tried = (
+        listed.groupBy("source", "bucket")
+        .agg(F.sum("tokens").alias("tokens"), F.max("rest").alias("rest"))
+        .select("source", "bucket", F.abs(F.sum("tokens").over(w) - F.col("rest")).alias("off"))
+        .unionByName(table.select("source", F.lit(-1).alias("bucket"), F.col("rest").alias("off")))
     )
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    whole = F.floor(F.col("times"))
-    n = (whole + (draw < F.col("times") - whole).cast("int")).cast("int")
+    last = tried.groupBy("source").agg(F.min(F.struct("off", "bucket")).getField("bucket").alias("last"))
     return (
-        sizes.join(F.broadcast(table), "source")  # at most MAX_SOURCES rows
-        .withColumn("repeats", n)
+        listed.join(F.broadcast(last), "source")  # MAX_SOURCES rows at most
+        .withColumn("repeats", F.col("whole") + (F.col("bucket") <= F.col("last")).cast("int"))
         .where(F.col("repeats") > 0)
         .select(id_col, "source", "tokens", "repeats")
     )
