@@ -80,17 +80,21 @@ def plane_cell(v: Column, level: Column) -> Column:
 
 def plane_boxes(df: DataFrame, min_x: str, min_y: str, max_x: str, max_y: str) -> DataFrame:
     """Boxes exploded to their cells: ``g_level``, ``g_x``, ``g_y``.  Inverted or non-finite boxes contain nothing."""
-    cols = [min_x, min_y, max_x, max_y]
     finite = F.lit(True)
-    for k in cols:
-        finite &= F.col(k).between(-1e6, 1e6)
+    for k in (min_x, min_y, max_x, max_y):
+        finite &= ~F.isnan(k) & (F.abs(F.col(k)) < float("inf"))
     df = df.where(finite & (F.col(min_x) <= F.col(max_x)) & (F.col(min_y) <= F.col(max_y)))
-    df = df.withColumn("g_level", plane_level(F.col(max_x) - F.col(min_x), F.col(max_y) - F.col(min_y)))
-    for a, b, to in ((min_x, max_x, "g_x"), (min_y, max_y, "g_y")):
-        df = df.withColumn(
-            to, F.explode(F.sequence(plane_cell(F.col(a), F.col("g_level")), plane_cell(F.col(b), F.col("g_level"))))
-        )
-    return df
+    # usable points lie on the globe, so only that part of a box needs cells
+    edge = {
+        "g_x0": F.greatest(F.col(min_x), F.lit(-180.0)), "g_x1": F.least(F.col(max_x), F.lit(180.0)),
+        "g_y0": F.greatest(F.col(min_y), F.lit(-90.0)), "g_y1": F.least(F.col(max_y), F.lit(90.0)),
+    }
+    df = df.withColumns(edge).where((F.col("g_x0") <= F.col("g_x1")) & (F.col("g_y0") <= F.col("g_y1")))
+    df = df.withColumn("g_level", plane_level(F.col("g_x1") - F.col("g_x0"), F.col("g_y1") - F.col("g_y0")))
+    for k in ("x", "y"):
+        cells = F.sequence(*[plane_cell(F.col(f"g_{k}{i}"), F.col("g_level")) for i in (0, 1)])
+        df = df.withColumn(f"g_{k}", F.explode(cells))
+    return df.drop(*edge)
 
 
 def plane_points(df: DataFrame, levels: list[int], x: str = "x", y: str = "y") -> DataFrame:

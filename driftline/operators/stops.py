@@ -130,10 +130,10 @@ class StopScan:
 
 
 def pings(feed: DataFrame) -> DataFrame:
-    """Usable U records with a time: namespace, object_id, us, seq, x, y (redelivered copies are still there)."""
+    """Usable U records with a time and a seq: namespace, object_id, us, seq, x, y (redelivered copies are still there)."""
     return (
         feed.where((F.col("op") == "U") & usable() & F.col("ts").isNotNull())
-        .where(F.col("namespace").isNotNull() & F.col("object_id").isNotNull())
+        .where(F.col("namespace").isNotNull() & F.col("object_id").isNotNull() & F.col("seq").isNotNull())
         .select(*KEY, F.unix_micros("ts").alias("us"), "seq", "x", "y")
     )
 

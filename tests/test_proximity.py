@@ -59,7 +59,8 @@ def test_boxes(spark):
     zones = spark.createDataFrame(
         [
             ("n", "z", 0.0, 0.0, 1.0, 1.0, b"x"), ("n", "z", 0.0, 0.0, 1.0, 1.0, None), ("n", "inverted", 1.0, 0.0, 0.0, 1.0, None),
-            ("n", "world", -180.0, -90.0, 180.0, 90.0, None), ("n", "dot", 0.5, 0.5, 0.5, 0.5, None),
+            ("n", "world", -180.0, -90.0, 180.0, 90.0, None), ("n", "dot", 0.5, 0.5, 0.5, 0.5, None), ("n", "beyond", -1e300, -1e9, 0.2, 1e9, None), ("n", "off", 200.0, 0.0, 300.0, 1.0, None),
+            ("n", "wide", -1e12, 0.9, 1e12, float("inf"), None),
             ("n", "nan", float("nan"), 0.0, 1.0, 1.0, None), ("n", None, 0.0, 0.0, 1.0, 1.0, None), ("n", "null", None, 0.0, 1.0, 1.0, None),
         ],
         ZONE,
