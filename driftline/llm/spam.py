@@ -35,11 +35,13 @@ UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 CODE = re.compile(
     r"\s=\s|==|\w[({\[]|<-|::|=[\d'\"]|\[[^\]]*['\":]"
     r"|^\s*(?:import|from|using|library|def|class|for|if|else|end|return|print|assert|%%\w|!pip|@)\b"
-    r"|\d\.\d{2,}|\S\s{2,}\S*\d|\|\s*-?\d|^\s*(?:In|Out)\s*\[|^# %%|^```|\\[a-z]+"
+    r"|\d\.\d{2,}|\S\s{2,}\S*\d|\|\s*-?\d|^\s*(?:In|Out)\s*\[|^\s*File \"[^\"]*\", line \d|^\w+Error\b|^# %%|^```|\\[a-z]+"
 )
 TAG = re.compile(r"^(?:#[^\s#]|tag:|[^\W\d_]+=[^\W\d_]+$)")
 ARTICLE = re.compile(r"\b[A-Z]{2,}-\d{3,}\b")
-SEPARATOR = re.compile(r"\s*(?:[|•★;,/»·–—✓►◆■、，；→~]|\s[-*]\s|\t|\s{3,})\s*|\s+(?=#[^\s#]|tag:)")
+SEPARATOR = re.compile(
+    r"\s*(?:[|•★;,/»·–—✓►◆■、，；→~]|\s[-*]\s|\t|\s{3,})\s*|\s+(?=#[^\s#]|tag:|[^\W\d_]+=[^\W\d_]+(?:\s|$))"
+)
 SENTENCE_END = re.compile(r"[.!?…。！？।؟][\"')\]]*\s*$")
 SENTENCES = re.compile(r"[.!?…。！？।؟]+(?:\s+|$)")
 NEWLINE = re.compile(r"\r\n|\r|\n")

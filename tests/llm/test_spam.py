@@ -34,6 +34,7 @@ SPAM = {
     "tags": " | ".join(f"tag:{w}" for w in WORDS),
     "hashtags": " ".join(f"#{w}lamp" for w in WORDS),
     "attributes": ";".join(f"brand={w}" for w in WORDS),
+    "blank-separated attributes": " ".join(f"{k}={w}" for w, k in zip(WORDS, ["size", "brand", "color"] * 40)),
     "articles": " ".join(f"desk lamp {w.upper()}-{i + 1000}" for i, w in enumerate(WORDS)),
     "invisible": keywords(", ").replace("phone", "ph​one"),
     "unspaced script": " ★ ".join(random.Random(2).choice(["激安携帯ケース", "携帯ケース", "送料無料携帯ケース"]) for _ in range(90)),
@@ -42,6 +43,7 @@ FINE = {
     "notebook": "\n\n".join([PROSE] * 3) + "\n" + CODE,
     "log": PROSE + "\n" + CODE + LOG,
     "repeated lines": PROSE + "\n" + CODE + RETRY,
+    "traceback": PROSE + "\n" + CODE + "\n".join(f'  File "<cell {i}>", line {i}, in {w}\n    {w} = frame[{w}]' for i, w in enumerate(WORDS)) + "\nKeyError: 'x'",
     "table": PROSE + "\n" + CODE + TABLE,
     "word list": PROSE + "\n" + CODE + WORDLIST,
     "references": "\n\n".join([PROSE] * 16) + "\n" + CODE + REFERENCES,
