@@ -50,8 +50,8 @@ def haversine(x1: Num, y1: Num, x2: Num, y2: Num) -> Column:
 
 
 def haversine_3d(x1: Num, y1: Num, z1: Num, x2: Num, y2: Num, z2: Num) -> Column:
-    h, v = haversine(x1, y1, x2, y2), c(z2) - c(z1)
-    return F.sqrt(h * h + v * v)
+    # hypot evaluates the long expression once, also inside join conditions, where nothing shares subexpressions
+    return F.hypot(haversine(x1, y1, x2, y2), c(z2) - c(z1))
 
 
 def haversine_components(x1: Num, y1: Num, z1: Num, x2: Num, y2: Num, z2: Num) -> Column:

@@ -23,7 +23,7 @@ def radius_join(
     grid = SphereGrid(radius)
     a = grid.home(current.select(*KEY, "x", "y", "z"))
     b = grid.reach(probes.select("probe_id", "namespace", *[F.col(k).alias(f"p_{k}") for k in "xyz"]), "p_x", "p_y")
-    hit = a.join(b, ["namespace", "g_row", "g_col"]).withColumn(
+    hit = a.join(b, ["namespace", "g_row", "g_col"]).where(F.abs(F.col("y") - F.col("p_y")) <= grid.dlat).withColumn(
         "distance", haversine_3d("x", "y", "z", "p_x", "p_y", "p_z")
     )
     hit = hit.where(F.col("distance") <= radius).select("probe_id", *KEY, "distance")
@@ -55,31 +55,39 @@ def knn_join(
     cols = ["probe_id", "namespace", "p_x", "p_y", "p_z", "own_id", "others"]
     todo = probes.select("probe_id", "namespace", *[F.col(c).alias(f"p_{c}") for c in "xyz"], own.alias("own_id"))
     todo = todo.join(sizes, "namespace").where(F.col("others") > 0).select(*cols)
-    out, radius = None, float(start_radius)
-    w = Window.partitionBy("probe_id").orderBy("distance", "neighbor_id")
+    out, radius, left = None, float(start_radius), todo.count()
+    by = Window.partitionBy("probe_id")
+    w = by.orderBy("distance", "neighbor_id")
     d = haversine_3d("p_x", "p_y", "p_z", "x", "y", "z")
-    while True:
+    while left:
         last = radius > 2.1e7
         if last:
             pair = todo.join(pts, "namespace")
         else:
             grid = SphereGrid(radius)
             pair = grid.reach(todo, "p_x", "p_y").join(grid.home(pts), ["namespace", "g_row", "g_col"])
+            pair = pair.where(F.abs(F.col("y") - F.col("p_y")) <= grid.dlat)
         near = pair.where(F.col("own_id").isNull() | (F.col("neighbor_id") != F.col("own_id"))).withColumn("distance", d)
         if not last:
             near = near.where(F.col("distance") <= radius)
-        top = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        top = cut(top.select("probe_id", "namespace", "neighbor_id", "distance", "rank", "others"))
-        full = top.groupBy("probe_id").agg(F.count("*").alias("n"), F.max("others").alias("others"))
-        full = full.where(F.lit(last) | (F.col("n") >= F.least(F.lit(k), F.col("others")))).select("probe_id")
-        settled = top.drop("others").join(full, "probe_id", "left_semi")
+        top = near.select("probe_id", "namespace", "neighbor_id", "distance", "others").withColumn("rank", F.row_number().over(w))
+        top = top.where(F.col("rank") <= k)
+        full = F.max("rank").over(by) >= F.least(F.lit(k), F.col("others"))
+        top = cut(top.withColumn("full", F.lit(last) | full))
+        settled = top.where("full").select("probe_id", "namespace", "neighbor_id", "distance", "rank")
         out = settled if out is None else out.unionByName(settled)
-        if last:
-            return out
-        todo = cut(todo.join(full, "probe_id", "left_anti"))
-        if todo.isEmpty():
-            return out
-        radius *= growth
+        found = settled.where(F.col("rank") == 1).select("probe_id")
+        left = 0 if last else left - found.count()
+        if left:
+            todo = cut(todo.join(found, "probe_id", "left_anti"))
+            radius *= growth
+    none = pts.select(*[F.lit(None).cast(t).alias(c) for c, t in _knn_types(probes)]).limit(0)
+    return none if out is None else out
+
+
+def _knn_types(probes: DataFrame) -> list[tuple[str, str]]:
+    kind = probes.schema["probe_id"].dataType.simpleString()
+    return [("probe_id", kind), ("namespace", "string"), ("neighbor_id", "string"), ("distance", "double"), ("rank", "int")]
 
 
 def all_knn(current: DataFrame, k: int, **options: float) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.functions.geo import bbox_contains, haversine, ring_edges, ring_position, usable
+from driftline.functions.geo import bbox_contains, haversine_3d, ring_edges, ring_position, usable
 from driftline.operators.grid import SphereGrid, plane_boxes, plane_points
 from driftline.session import cut
 
@@ -66,12 +66,11 @@ def near_pairs(points: DataFrame, radius: float, *, crowd: int = 4096) -> DataFr
         .withColumn("g_sub", F.explode(F.sequence(F.lit(0), parts - 1)))
         .select(*cell, "g_sub", F.col("object_id").alias("key_b"), *[F.col(k).alias(f"b_{k}") for k in "xyz"])
     )
-    h, v = haversine("a_x", "a_y", "b_x", "b_y"), F.col("a_z") - F.col("b_z")
     return (
         a.join(b, [*cell, "g_sub"])
         .where(F.col("key_a") < F.col("key_b"))
-        .where(F.abs(v) <= radius)
-        .withColumn("distance", F.sqrt(h * h + v * v))
+        .where((F.abs(F.col("a_y") - F.col("b_y")) <= grid.dlat) & (F.abs(F.col("a_z") - F.col("b_z")) <= radius))
+        .withColumn("distance", haversine_3d("a_x", "a_y", "a_z", "b_x", "b_y", "b_z"))
         .where(F.col("distance") <= radius)
         .select("namespace", "key_a", "key_b", "distance")
     )
