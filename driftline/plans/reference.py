@@ -56,7 +56,11 @@ def hav3(x1: object, y1: object, z1: object, x2: object, y2: object, z2: object)
     return f"sqrt(pow({hav(x1, y1, x2, y2)}, 2) + pow({z2} - ({z1}), 2))"
 
 
-OK = "(x BETWEEN -180 AND 180 AND y BETWEEN -90 AND 90 AND z BETWEEN -11000 AND 100000)"
+# NaN is tested by itself: statistics of a Parquet file leave it out, so a range filter may be dropped as always true.
+OK = (
+    "(isfinite(x) AND isfinite(y) AND isfinite(z) AND x BETWEEN -180 AND 180 AND y BETWEEN -90 AND 90"
+    " AND z BETWEEN -11000 AND 100000)"
+)
 LOC = f"""loc AS (SELECT namespace, object_id, x, y, z, metadata, ts FROM point_in
   WHERE {OK} AND namespace IS NOT NULL AND object_id IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY namespace, object_id
@@ -128,13 +132,14 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def one_id(df: DataFrame, last: bool = False) -> str:
-    """An object to ask about: the first (or last) id of the namespace."""
-    ids = spatial.of_namespace(df, NS)
-    return ids.agg((F.max if last else F.min)("object_id")).first()[0]
+    """An object to ask about: the one nearest to (or furthest from) the zero meridian, by id among equals."""
+    far = F.struct(F.abs("x").alias("far"), "object_id")
+    ids = spatial.of_namespace(df, NS).agg((F.max if last else F.min)(far).alias("o"))
+    return ids.first().o.object_id
 
 
-ONE = f"one AS (SELECT x AS ox, y AS oy, z AS oz, object_id AS oid FROM loc WHERE namespace = '{NS}' ORDER BY object_id LIMIT 1)"
-TWO = f"two AS (SELECT x AS tx, y AS ty FROM loc WHERE namespace = '{NS}' ORDER BY object_id DESC LIMIT 1)"
+ONE = f"one AS (SELECT x AS ox, y AS oy, z AS oz, object_id AS oid FROM loc WHERE namespace = '{NS}' ORDER BY abs(x), object_id LIMIT 1)"
+TWO = f"two AS (SELECT x AS tx, y AS ty FROM loc WHERE namespace = '{NS}' ORDER BY abs(x) DESC, object_id DESC LIMIT 1)"
 
 # --- state ------------------------------------------------------------------------------------------
 
@@ -157,7 +162,7 @@ def current_state_first_tie(spark: SparkSession, sf: str) -> DataFrame:
     return _state(spark, sf, "first")
 
 
-@query(f"WITH {LOC} SELECT object_id, x, y, z, metadata FROM loc WHERE namespace = '{NS}' ORDER BY object_id LIMIT 1")
+@query(f"WITH {LOC} SELECT object_id, x, y, z, metadata FROM loc WHERE namespace = '{NS}' ORDER BY abs(x), object_id LIMIT 1")
 def get(spark: SparkSession, sf: str) -> DataFrame:
     loc = locations(spark, sf)
     oid = one_id(loc)
@@ -311,7 +316,7 @@ def knn_near_object(spark: SparkSession, sf: str) -> DataFrame:
 )
 def all_knn(spark: SparkSession, sf: str) -> DataFrame:
     """The three nearest neighbours of every object, by growing grid rings."""
-    return rounded(batch.all_knn(locations(spark, sf), 3))
+    return rounded(batch.all_knn(locations(spark, sf), 3)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(
@@ -471,7 +476,7 @@ def trajectory_limit(spark: SparkSession, sf: str) -> DataFrame:
 
 UPLOADED = """uploaded AS (SELECT namespace, object_id, p.x AS x, p.y AS y, p.ts AS ts FROM
   (SELECT namespace, object_id, unnest(points) AS p FROM trajectory_in)
-  WHERE p.x BETWEEN -180 AND 180 AND p.y BETWEEN -90 AND 90 AND p.ts BETWEEN 0 AND 253402300799)"""
+  WHERE isfinite(p.x) AND isfinite(p.y) AND isfinite(p.ts) AND p.x BETWEEN -180 AND 180 AND p.y BETWEEN -90 AND 90 AND p.ts BETWEEN 0 AND 253402300799)"""
 
 
 @query(
