@@ -15,6 +15,7 @@ from driftline.functions import namespaces, validate
 from driftline.operators import geometry, history, spatial
 from driftline.operators import stats as counters
 from driftline.operators.change_feed import replay
+from driftline.session import ship_package
 
 SCHEMA = (
     "namespace string, object_id string, op string, seq bigint, ts timestamp, x double, y double, z double,"
@@ -30,6 +31,7 @@ class Engine:
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, config: Config | None = None):
+        ship_package(spark)
         self.spark, self.path, self.config = spark, path, config or Config()
         self._held: list[tuple] = []
         self._frames: list[DataFrame] = []

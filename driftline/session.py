@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +39,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once per context.
+
+    Needed where it isn't installed on the workers: the driver serves the archive, as for any file added to a job.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_driftline_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    path = os.path.join(tempfile.mkdtemp(prefix="driftline-"), "driftline.zip")
+    Path(path).write_bytes(data.getvalue())
+    sc.addPyFile(path)
+    sc._driftline_shipped = True
