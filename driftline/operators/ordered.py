@@ -7,7 +7,8 @@ shared checkpoint folder.  Then three narrow passes without any shuffle:
 
 1. every shard reports the state it leaves behind.  A *safe cut* in it (a change of object, or a place where no
    earlier state can matter) makes that independent of the state it was entered with;
-2. shards without a safe cut are asked again once the state of the shard before them is known;
+2. shards without a safe cut (an object that stays where it is) say instead within which circle they lie; where that
+   settles the state they pass on, it is taken over, and the others are asked again once the state before them is known;
 3. all shards run with their true entry state and give their rows.
 
 The driver sees one small state per shard; the number of shards is bounded (``MAX_SHARDS``).
@@ -30,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from driftline.session import cut, shuffle_partitions
 
 MAX_SHARDS = 50_000
-STATE = "shard int, known boolean, state binary"
+STATE = "shard int, known boolean, state binary, summary binary"
 
 
 class Scan(Protocol):
@@ -48,6 +49,12 @@ class Scan(Protocol):
     def run(self, state: Any, cols: dict[str, list], shard: int, emit: Callable[..., None] | None) -> Any:
         """Works off rows of one object and gives the state after them."""
 
+    def summary(self, cols: dict[str, list], shard: int) -> Any:
+        """What ``skip`` needs to know of rows that have no safe cut."""
+
+    def skip(self, state: Any, summary: Any) -> Any:
+        """State after the summarised rows if that can be told, else None."""
+
     def end(self, state: Any, emit: Callable[..., None]) -> None:
         """The object has no further rows."""
 
@@ -104,15 +111,22 @@ def _left_behind(op: Scan, keys: Sequence[str], by: Sequence[str], entered: dict
         shard, key, cols = last
         at = op.safe_cut(cols)
         known = count > 1 or at > 0 or shard in entered or shard == first_shard
-        state = b""
-        if known:
+        state = summary = b""
+        if not known:
+            summary = pickle.dumps((key, op.summary(cols, shard)))
+        else:
             st = op.start(key)
             if count == 1 and at == 0 and shard in entered:
                 before = pickle.loads(entered[shard])
                 st = before[1] if before[0] == key else st
             state = pickle.dumps((key, op.run(st, {k: v[at:] for k, v in cols.items()}, shard, None)))
         yield pa.RecordBatch.from_pydict(
-            {"shard": pa.array([shard], pa.int32()), "known": [known], "state": pa.array([state], pa.binary())}
+            {
+                "shard": pa.array([shard], pa.int32()),
+                "known": [known],
+                "state": pa.array([state], pa.binary()),
+                "summary": pa.array([summary], pa.binary()),
+            }
         )
 
     return f
@@ -122,6 +136,7 @@ def scan(sorted_shards: DataFrame, keys: Sequence[str], by: Sequence[str], op: S
     """Runs ``op`` over shards sorted by (keys, by), without null in either; ``emit(*values)`` gives rows of ``schema``."""
     keys, by = list(keys), list(by)
     after: dict[int, bytes] = {}
+    circles: dict[int, tuple] = {}
     order: list[int] = []
     entered: dict[int, bytes] = {}
     todo: DataFrame = sorted_shards
@@ -129,10 +144,18 @@ def scan(sorted_shards: DataFrame, keys: Sequence[str], by: Sequence[str], op: S
         rows = todo.mapInArrow(_left_behind(op, keys, by, entered, order[0] if order else None), STATE).collect()
         order = order or sorted(r.shard for r in rows)
         for r in rows:
-            # the very first shard is entered with nothing, which is learnt only now
             if r.known:
                 after[r.shard] = bytes(r.state)
+            else:
+                circles[r.shard] = pickle.loads(bytes(r.summary))
+        for a, b in zip(order, order[1:], strict=False):
+            if b not in after and a in after and b in circles:
+                (key, state), (same, summary) = pickle.loads(after[a]), circles[b]
+                state = op.skip(state, summary) if key == same else None
+                if state is not None:
+                    after[b] = pickle.dumps((key, state))
         entered = {b: after[a] for a, b in zip(order, order[1:], strict=False) if a in after}
+        # the very first shard is entered with nothing, which is learnt only now
         ask = [i for i in order if i not in after and (i in entered or i == order[0])]
         if not ask:
             break

@@ -35,6 +35,13 @@ def meters_np(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) ->
     return 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(1.0, a)))
 
 
+def circle(cols: dict[str, list]) -> tuple[float, float, float]:
+    """Centre and radius in metres of a circle around all rows."""
+    x, y = np.asarray(cols["x"], dtype=float), np.asarray(cols["y"], dtype=float)
+    cx, cy = float(x.mean()), float(y.mean())
+    return cx, cy, float(meters_np(np.full_like(x, cx), np.full_like(y, cy), x, y).max())
+
+
 class RunScan:
     """State: key, first event's x, y, time of the last event, shard and position of the start, events so far."""
 
@@ -70,6 +77,17 @@ class RunScan:
             n += 1
         return (key, ax, ay, last, began, pos, n)
 
+    def summary(self, cols: dict[str, list], shard: int) -> Any:
+        return (*circle(cols), cols["ts"][0], cols["ts"][-1], len(cols["ts"]))
+
+    def skip(self, state: Any, summary: Any) -> Any:
+        """Events that all lie near the run's first event, without a gap, only make the run longer."""
+        key, ax, ay, last, began, pos, n = state
+        cx, cy, radius, first_ts, last_ts, count = summary
+        if last is None or first_ts - last > self.gap_s or meters(ax, ay, cx, cy) + radius > self.near_m - 0.001:
+            return None
+        return (key, ax, ay, last_ts, began, pos, n + count)
+
     def end(self, state: Any, emit: Any) -> None:
         key, _, _, last, began, pos, n = state
         if last is not None:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.geo import usable
 from driftline.operators.ordered import scan, shards
-from driftline.operators.runs import meters, meters_np
+from driftline.operators.runs import circle, meters, meters_np
 from driftline.session import cut
 
 KEY = ["namespace", "object_id"]
@@ -116,6 +116,18 @@ class StopScan:
                         buf, away = [], []
         return buf, stop, away
 
+    def summary(self, cols: dict[str, list], shard: int) -> Any:
+        last = tuple(cols[k][-1] for k in ("x", "y", "us", "seq"))
+        return (*circle(cols), len(cols["x"]), (*last, shard, cols["m"][-1]))
+
+    def skip(self, state: Any, summary: Any) -> Any:
+        """Pings that are all within reach of a confirmed stop's first ping only make the stop longer."""
+        key, _, stop, _, _ = state
+        cx, cy, radius, count, last = summary
+        if stop is None or meters(stop[0][0], stop[0][1], cx, cy) + radius > self.radius_m - 0.001:
+            return None
+        return [key, [], (stop[0], last, stop[2] + count), [], last]
+
     def end(self, state: Any, emit: Any) -> None:
         key, buf, stop, away, _ = state
         while True:

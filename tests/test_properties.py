@@ -98,6 +98,20 @@ def test_safe_cut_of_stops(steps):
     assert op.run(op.start(("k",)), {k: v[at:] for k, v in cols.items()}, 0, None) == whole
 
 
+@given(TRACK, TRACK)
+@settings(max_examples=150, deadline=None)
+def test_skipping_equals_running(before, steps):
+    rows = path(before + steps)
+    n = len(before)
+    for op, cols_of in ((RunScan(10.0, 1800.0), run_cols), (StopScan(100.0, 300.0, 2, 100.0), stop_cols)):
+        first, second = cols_of(rows[:n]), cols_of(rows[n:])
+        op.prepare(first)
+        op.prepare(second)
+        state = op.run(op.start(("k",)), first, 0, None)
+        skipped = op.skip(state, op.summary(second, 1)) if op.safe_cut(second) == 0 else None
+        assert skipped is None or skipped == op.run(state, second, 1, None)
+
+
 POINTS = st.lists(st.tuples(st.integers(-5, 5), st.integers(-5, 5)), min_size=1, max_size=40)
 
 
