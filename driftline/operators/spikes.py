@@ -8,66 +8,89 @@ shift is the step between those neighbours.  A block is a spike when the first i
 is ordinary; the tests are iterated with the flagged readings taken out.  Stuck runs and physical limits are
 separate tests.
 
-A busy source is cut into time shards at approximate quantiles of its time, each with a halo of neighbouring
-readings on both sides, so no group is larger than about ``shard_rows`` whatever share of the rows a source has.
+A busy source is cut into shards, yet judged as a whole: runs of equal positions are summarised per sorted shard and
+merged across borders, which gives every run's full length and the source's share of equal steps; the readings that are
+left for the spike test are numbered, cut into shards of ``shard_rows`` with a halo of ``HALO`` readings on both sides,
+and each round takes its usual errors and paces from the medians of the whole source.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.constants import EARTH_RADIUS_M, MAX_ALTITUDE_M, MIN_ALTITUDE_M
+from driftline.functions.geo import usable
+from driftline.operators.ordered import shards
 from driftline.session import cut as cut_
 
 KEY = ["namespace", "object_id"]
 LIMIT, PLACEHOLDER, STUCK, SPIKE = "limit", "placeholder", "stuck", "spike"
-#: Parts into which each shard's time is divided for its halo: one part of rows on either side is lent.
-HALO_PARTS = 8
-MAX_SHARDS_PER_SOURCE = 2048
-#: Shards of busy sources up to which their time marks (about 200 bytes a shard) are broadcast.
-MAX_BROADCAST_SHARDS = 50_000
+#: Readings lent on either side of a shard; a round of tests looks about 20 readings far.
+HALO = 256
+#: Busy sources up to which their keys are broadcast.
+MAX_BROADCAST_SOURCES = 50_000
+#: Digits after the point up to which a coordinate's recording step is looked for.
+DIGITS = 7
 #: Share of equal successive positions from which a source normally repeats itself.
 HABIT = 0.15
+#: Rounds of block tests.
+ROUNDS = 4
 
 
 def _moving_median(v: np.ndarray, width: int) -> np.ndarray:
     return pd.Series(v).rolling(width, center=True, min_periods=min(5, width)).median().bfill().ffill().to_numpy()
 
 
-def _quantum(v: np.ndarray) -> float:
+def _quantum(shares: list[float]) -> float:
     """Step in which a coordinate is recorded: the power of ten of which nearly all values are multiples."""
-    for digits in range(7):
-        scaled = v * 10.0**digits
-        if np.mean(np.abs(scaled - np.round(scaled)) < 1e-6) >= 0.95:
-            return 10.0**-digits
-    return 0.0
+    return next((10.0**-digits for digits, share in enumerate(shares) if share >= 0.95), 0.0)
+
+
+def _multiples(v: np.ndarray) -> list[float]:
+    """Share of multiples of 1, 0.1, 0.01 and so on among the values."""
+    return [float(np.mean(np.abs(v * 10.0**d - np.round(v * 10.0**d)) < 1e-6)) for d in range(DIGITS)]
 
 
-def _scale(r: np.ndarray, floor: float, width: int = 31) -> np.ndarray:
-    """Robust scale of residual sizes: the larger of the global and the moving median, at least ``floor``."""
-    whole = float(np.median(r)) if len(r) else 0.0
+def _scale(r: np.ndarray, floor: float, whole: float | None, width: int = 31) -> np.ndarray:
+    """Robust scale of residual sizes: the larger of the source's and the moving median, at least ``floor``."""
+    if whole is None:
+        whole = float(np.median(r)) if len(r) else 0.0
     return np.maximum(np.maximum(_moving_median(r, width), whole), floor)
 
 
-def _block_tests(t: np.ndarray, tracks: list[np.ndarray], floors: list[float], cut: float) -> np.ndarray:
-    """Flags readings in blocks of one to three that are additive outliers in one of the tracks."""
+def _residuals(t: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Innovations (error of interpolating each inner reading from its two neighbours) and ordinary paces."""
+    w = ((t[1:-1] - t[:-2]) / np.maximum(t[2:] - t[:-2], 1e-9))[:, None]
+    r = np.linalg.norm(pos[1:-1] - (pos[:-2] + w * (pos[2:] - pos[:-2])), axis=1)
+    step = np.linalg.norm(np.diff(pos, axis=0), axis=1)
+    return r, step / np.maximum(np.diff(t), 1e-3)
+
+
+def _block_tests(
+    t: np.ndarray, tracks: list[np.ndarray], floors: list[float], cut: float, whole: list[tuple] | None = None
+) -> np.ndarray:
+    """Flags readings in blocks of one to three that are additive outliers in one of the tracks.
+
+    ``whole``: the source's median innovation and pace per track, where the readings are only a part of it.
+    """
     m = len(t)
     flag = np.zeros(m, dtype=bool)
     if m < 8:
         return flag
-    for track, floor in zip(tracks, floors, strict=True):
+    for track, floor, (usual_r, usual_pace) in zip(tracks, floors, whole or [(None, None)] * len(tracks), strict=True):
         pos = track.reshape(m, -1)
-        # innovations: error of interpolating each reading from its two neighbours, and ordinary steps
-        w = ((t[1:-1] - t[:-2]) / np.maximum(t[2:] - t[:-2], 1e-9))[:, None]
-        r1 = np.linalg.norm(pos[1:-1] - (pos[:-2] + w * (pos[2:] - pos[:-2])), axis=1)
-        s = _scale(r1, floor)
+        r1, speed = _residuals(t, pos)
+        s = _scale(r1, floor, usual_r)
         s = np.concatenate([s[:1], s, s[-1:]])
-        step = np.linalg.norm(np.diff(pos, axis=0), axis=1)
-        dt = np.maximum(np.diff(t), 1e-3)
-        pace = _scale(step / dt, 0.0)
+        pace = _scale(speed, 0.0, usual_pace)
         pace = np.concatenate([pace, pace[-1:]])
         best = np.zeros(m, dtype=bool)
         for size in (1, 2, 3):
@@ -94,8 +117,42 @@ def _block_tests(t: np.ndarray, tracks: list[np.ndarray], floors: list[float], c
     return flag
 
 
+def _tracks(us: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray, facts: dict) -> tuple[np.ndarray, list, list]:
+    """Time in s, tracks in metres (plane and altitude) and the least scale of each."""
+    lon0, lat0 = facts["lon0"], facts["lat0"]
+    east = np.radians((x - lon0 + 180) % 360 - 180) * EARTH_RADIUS_M * np.cos(np.radians(np.clip(lat0, -89, 89)))
+    north = np.radians(y - lat0) * EARTH_RADIUS_M
+    t = (us - us[0]) / 1e6
+    t = t + np.arange(len(t)) * 1e-9
+    degree = np.radians(1.0) * EARTH_RADIUS_M
+    step = max(_quantum(facts["x"]) * np.cos(np.radians(lat0)), _quantum(facts["y"])) * degree
+    return t, [np.column_stack([east, north]), z], [max(0.5, 0.3 * step), max(0.02, 0.3 * _quantum(facts["z"]))]
+
+
+def _rounds(t: np.ndarray, tracks: list, floors: list, cut: float, wholes: list) -> np.ndarray:
+    """Outliers after one round of tests per entry of ``wholes``, each without the readings flagged before."""
+    out = np.zeros(len(t), dtype=bool)
+    for whole in wholes:
+        rest = np.flatnonzero(~out)
+        new = _block_tests(t[rest], [k[rest] for k in tracks], floors, cut, whole)
+        if not new.any():
+            break
+        out[rest[new]] = True
+    return out
+
+
+def _without_long_blocks(out: np.ndarray) -> np.ndarray:
+    """Flagged stretches of more than three readings are no spikes."""
+    out = out.copy()
+    ends = np.flatnonzero(np.diff(np.concatenate([[0], out.astype(int), [0]])))
+    for a, b in zip(ends[::2], ends[1::2], strict=True):
+        if b - a > 3:
+            out[a:b] = False
+    return out
+
+
 def judge(
-    us: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray, *, cut: float = 10.0, stuck_run: int = 8, rounds: int = 4
+    us: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray, *, cut: float = 10.0, stuck_run: int = 8, rounds: int = ROUNDS
 ) -> np.ndarray:
     """Reason per reading ('' if it is fine) for one source's readings in (ts, seq) order; NaN marks nulls."""
     n = len(x)
@@ -125,74 +182,214 @@ def judge(
     # Spikes. Copies sent again at the same time count once; of a stuck run its first reading stays.
     first = np.concatenate([[True], ~(same & (resent | (long[1:] & long[:-1])))])
     keep = use[first]
-    lon0, lat0 = np.median(x[keep]), np.median(y[keep])
-    east = np.radians((x[keep] - lon0 + 180) % 360 - 180) * EARTH_RADIUS_M * np.cos(np.radians(np.clip(lat0, -89, 89)))
-    north = np.radians(y[keep] - lat0) * EARTH_RADIUS_M
-    plane, alt, t = np.column_stack([east, north]), z[keep], (us[keep] - us[keep[0]]) / 1e6
-    t = t + np.arange(len(t)) * 1e-9
-    degree = np.radians(1.0) * EARTH_RADIUS_M
-    step = max(_quantum(x[keep]) * np.cos(np.radians(lat0)), _quantum(y[keep])) * degree
-    floors = [max(0.5, 0.3 * step), max(0.02, 0.3 * _quantum(alt))]
-    out = np.zeros(len(keep), dtype=bool)
-    for _ in range(rounds):
-        rest = np.flatnonzero(~out)
-        new = _block_tests(t[rest], [plane[rest], alt[rest]], floors, cut)
-        if not new.any():
-            break
-        out[rest[new]] = True
-    ends = np.flatnonzero(np.diff(np.concatenate([[0], out.astype(int), [0]])))
-    for a, b in zip(ends[::2], ends[1::2], strict=True):
-        if b - a > 3:
-            out[a:b] = False
+    facts = {"lon0": np.median(x[keep]), "lat0": np.median(y[keep])}
+    facts |= {k: _multiples(v[keep]) for k, v in (("x", x), ("y", y), ("z", z))}
+    t, tracks, floors = _tracks(us[keep], x[keep], y[keep], z[keep], facts)
+    out = _without_long_blocks(_rounds(t, tracks, floors, cut, [None] * rounds))
     group = np.cumsum(first) - 1
     hit = out[group] & (why[use] == "")
     why[use[hit]] = SPIKE
     return why
 
 
-def _busy_sources(readings: DataFrame, shard_rows: int) -> DataFrame | None:
-    """Time marks of the sources with more than ``shard_rows`` rows: arrays ``bounds``, ``pre`` and ``post``.
+def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple, pd.DataFrame]]:
+    """(shard, key, rows) per source of a sorted shard."""
+    got = [b for b in batches if b.num_rows]
+    if got:
+        rows = pa.Table.from_batches(got).to_pandas()
+        for key, g in rows.groupby(KEY, sort=False):
+            yield int(g["shard"].iloc[0]), key, g
+
+
+def _steps(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Steps to an equal position, steps without time, number of each reading's run."""
+    same = np.logical_and.reduce([np.diff(g[k].to_numpy()) == 0 for k in ("x", "y", "z")])
+    return same, np.diff(g["us"].to_numpy()) == 0, np.concatenate([[0], np.cumsum(~same)])
+
+
+def _summarise(stuck_run: int) -> Callable:
+    """Per shard and source its outermost runs and the sums of the runs between them."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, key, g in _sources(batches):
+            same, resent, run = _steps(g)
+            us, pos = g["us"].to_numpy(), g[["x", "y", "z"]].to_numpy()
+            n = np.bincount(run)
+            equal, again = (np.bincount(run[1:][same & w], minlength=len(n)) for w in (~resent, resent))
+            fresh, long = ~resent[~same], n >= stuck_run
+            ends = np.cumsum(n)
+
+            def one(i: int) -> dict:
+                return {
+                    "pos": tuple(pos[ends[i] - 1]), "n": int(n[i]), "equal": int(equal[i]), "again": int(again[i]),
+                    "from": int(us[ends[i] - n[i]]), "to": int(us[ends[i] - 1]), "shard": shard,
+                }
+
+            out = {"head": one(0), "tail": one(len(n) - 1) if len(n) > 1 else None, "middle": None}
+            if len(n) > 2:
+                m, short = slice(1, -1), ~long[1:-1]
+                counted = fresh[1:-1] & ~(long[1:-2] & long[2:-1])
+                out["middle"] = {
+                    "free": int(n[m][short].sum()), "equal": int(equal[m][short].sum()), "steps": int(counted.sum()),
+                    "long": bool(long[m].any()), "kept": int(np.where(long[m], 1, n[m] - again[m]).sum()),
+                    "in": (bool(fresh[0]), bool(long[1])), "out": (bool(fresh[-1]), bool(long[-2])),
+                }
+            yield pa.RecordBatch.from_pydict(
+                {"shard": pa.array([shard], pa.int32()), "summary": pa.array([pickle.dumps((key, out))], pa.binary())}
+            )
 
-    Counts and quantile sketches are combined map-side; the exactness of the quantiles only moves shard borders.
-    """
-    busy = cut_(readings.groupBy(*KEY).count().where(F.col("count") > shard_rows))
-    n_busy, total = busy.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
-    if not n_busy:
-        return None
-    small = n_busy <= MAX_BROADCAST_SHARDS
-    rows = readings.select(*KEY, "us").where(F.col("us").isNotNull()).join(F.broadcast(busy) if small else busy, KEY)
-    parts = MAX_SHARDS_PER_SOURCE * HALO_PARTS
-    marks = rows.groupBy(*KEY).agg(
-        F.max("count").alias("rows"),
-        F.percentile_approx("us", [i / parts for i in range(1, parts)], 4 * parts).alias("q"),
-    )
-    k = F.greatest(F.lit(2), F.least(F.lit(MAX_SHARDS_PER_SOURCE), F.ceil(F.col("rows") / shard_rows))).cast("int")
-
-    def at(offset: int) -> Column:
-        """The quantile ``offset`` parts of a shard's HALO_PARTS away from each shard border."""
-        place = lambda j: F.floor((j * HALO_PARTS + offset) * parts / (F.col("k") * HALO_PARTS)).cast("int")
-        return F.transform(F.sequence(F.lit(1), F.col("k") - 1), lambda j: F.get(F.col("q"), place(j) - 1))
-
-    marks = marks.withColumn("k", k).select(*KEY, at(0).alias("bounds"), at(-1).alias("pre"), at(1).alias("post"))
-    # k shards have at least shard_rows / 2 rows each, so this bounds what is broadcast
-    return F.broadcast(marks) if n_busy + total / shard_rows <= MAX_BROADCAST_SHARDS else marks
-
-
-def _sharded(readings: DataFrame, shard_rows: int) -> DataFrame:
-    """Adds ``shard`` and ``own``; readings near a border are lent to the shard next to it (``own`` false)."""
-    marks = _busy_sources(readings, shard_rows)
-    if marks is None:
-        return readings.withColumns({"shard": F.lit(0), "own": F.lit(True)})
-    us = F.col("us")
-    j = F.size(F.filter(F.coalesce("bounds", F.array().cast("array<bigint>")), lambda b: b <= us))
-    r = readings.join(marks, KEY, "left").withColumn("j", j)
-    lent = F.array(
-        F.col("j"),
-        F.when(F.get("pre", F.col("j")) <= us, F.col("j") + 1),
-        F.when((F.col("j") > 0) & (F.get("post", F.col("j") - 1) > us), F.col("j") - 1),
+    return f
+
+
+def _merge(parts: list[dict], stuck_run: int) -> dict[int, dict]:
+    """From a source's summaries in order, per shard: full length of its first and last run and what lies before it."""
+    known: dict[int, dict] = {p["head"]["shard"]: {"joined": False, "resent": False, "kept": 0} for p in parts}
+    free = equal = steps = 0
+    run: list[dict] = []  # members of the open run, one per shard
+    fresh = before = any_long = False  # the step into the open run takes time; the run before it is long
+
+    def close() -> bool:
+        nonlocal free, equal, steps, any_long
+        border = [a["to"] == b["from"] for a, b in zip(run, run[1:], strict=False)]
+        n, same = sum(m["n"] for m in run), sum(m["equal"] for m in run) + border.count(False)
+        long = n >= stuck_run
+        any_long |= long
+        steps += fresh and not (before and long)
+        if not long:
+            free, equal, steps = free + n, equal + same, steps + same
+        for i, m in enumerate(run):
+            k = known[m["shard"]]
+            k["tail_n"] = n
+            k.setdefault("head_n", n)
+            k["kept"] += (i == 0) if long else m["n"] - m["again"] - (i > 0 and border[i - 1])
+            if i:
+                k["joined"], k["resent"] = True, border[i - 1]
+        run.clear()
+        return long
+
+    for p in parts:
+        head, middle, tail = p["head"], p["middle"], p["tail"]
+        if run and run[-1]["pos"] != head["pos"]:
+            last = run[-1]["to"]
+            before, fresh = close(), last != head["from"]
+        run.append(head)
+        if middle:
+            long = close()
+            enters, next_long = middle["in"]
+            steps += enters and not (long and next_long)
+            free, equal, steps = free + middle["free"], equal + middle["equal"], steps + middle["steps"] + middle["equal"]
+            known[head["shard"]]["kept"] += middle["kept"]
+            any_long |= middle["long"]
+            fresh, before = middle["out"]
+            run.append(tail)
+        elif tail:
+            last = head["to"]
+            before, fresh = close(), last != tail["from"]
+            run.append(tail)
+    close()
+    stuck = any_long and steps > 0 and equal / steps < HABIT and free >= stuck_run
+    offset = 0
+    for k in known.values():
+        k["offset"], k["stuck"] = offset, stuck
+        offset += k["kept"]
+    return known
+
+
+def _numbered(known: dict[tuple, dict[int, dict]], stuck_run: int) -> Callable:
+    """Adds to each reading whether it is stuck, whether it stays for the spike test, and its (or its copy's) number there."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, key, g in _sources(batches):
+            of = known[key][shard]
+            same, resent, run = _steps(g)
+            n = np.bincount(run)
+            n[0], n[-1] = of["head_n"], of["tail_n"]
+            long = n[run] >= stuck_run
+            stays = np.concatenate(
+                [[not (of["joined"] and (of["resent"] or long[0]))], ~(same & (resent | (long[1:] & long[:-1])))]
+            )
+            g = g.drop(columns="shard").assign(k=of["offset"] + np.cumsum(stays) - 1, stays=stays, stuck=long & of["stuck"])
+            yield pa.RecordBatch.from_pandas(g, preserve_index=False)
+
+    return f
+
+
+def _busy_spikes(kept: DataFrame, cut: float, rounds: int, shard_rows: int) -> DataFrame:
+    """Numbers ``k`` of the spikes among the numbered readings of busy sources."""
+    share = lambda c, d: F.avg((F.abs(c * 10.0**d - F.rint(c * 10.0**d)) < 1e-6).cast("double"))
+    got = kept.groupBy(*KEY).agg(
+        F.percentile_approx("x", 0.5).alias("lon0"),
+        F.percentile_approx("y", 0.5).alias("lat0"),
+        *[F.array(*[share(F.col(c), d) for d in range(DIGITS)]).alias(c) for c in ("x", "y", "z")],
     )
-    r = r.withColumn("shard", F.explode(F.filter(lent, lambda v: v.isNotNull())))
-    return r.withColumn("own", F.col("shard") == F.col("j")).select(*readings.columns, "shard", "own")
+    facts = {(r.namespace, r.object_id): r.asDict() for r in got.collect()}
+    wholes: dict[tuple, list] = defaultdict(list)
+    k = F.col("k")
+    near = F.sequence(F.greatest(F.lit(0), F.floor((k - HALO) / shard_rows)), F.floor((k + HALO) / shard_rows))
+    lent = kept.withColumn("shard", F.explode(near))
+
+    def track_of(g: pd.DataFrame) -> tuple:
+        key = (g["namespace"].iloc[0], g["object_id"].iloc[0])
+        t, tracks, floors = _tracks(*[g[c].to_numpy(dtype=float) for c in ("us", "x", "y", "z")], facts[key])
+        return t, tracks, _rounds(t, tracks, floors, cut, wholes.get(key, []))
+
+    def usual(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Innovations and paces of the shard's own readings that aren't flagged so far."""
+        g = pdf.sort_values("k")
+        t, tracks, out = track_of(g)
+        rest = np.flatnonzero(~out)
+        res = g[KEY].assign(out=out)
+        for i, track in enumerate(tracks):
+            r, pace = np.full(len(g), np.nan), np.full(len(g), np.nan)
+            if len(rest) > 1:
+                r[rest[1:-1]], pace[rest[:-1]] = _residuals(t[rest], track[rest].reshape(len(rest), -1))
+            res[f"r{i}"], res[f"p{i}"] = r, pace
+        return res[(g["k"] // shard_rows == g["shard"]).to_numpy()]
+
+    def spikes(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = pdf.sort_values("k")
+        out = _without_long_blocks(track_of(g)[2])
+        return g.loc[out & (g["k"] // shard_rows == g["shard"]).to_numpy(), [*KEY, "k"]]
+
+    names, flagged = ["r0", "p0", "r1", "p1"], -1
+    for _ in range(rounds):
+        parts = lent.groupBy(*KEY, "shard").applyInPandas(
+            usual, "namespace string, object_id string, out boolean, " + ", ".join(f"{c} double" for c in names)
+        )
+        medians = [F.percentile_approx(F.when(~F.isnan(c), F.col(c)), 0.5).alias(c) for c in names]
+        rows = parts.groupBy(*KEY).agg(F.count_if("out").alias("n_out"), *medians).collect()
+        found = sum(r.n_out for r in rows)
+        if found == flagged:
+            break
+        flagged = found
+        for r in rows:
+            v = [r[c] or 0.0 for c in names]
+            wholes[r.namespace, r.object_id].append([(v[0], v[1]), (v[2], v[3])])
+    return lent.groupBy(*KEY, "shard").applyInPandas(spikes, "namespace string, object_id string, k bigint")
+
+
+def _judge_busy(readings: DataFrame, cut: float, stuck_run: int, rounds: int, shard_rows: int) -> DataFrame:
+    """namespace, object_id, seq, us, reason of the wrong readings of sources too large for one task."""
+    once = readings.groupBy(*KEY, "us", "seq").agg(*[F.first(c).alias(c) for c in ("x", "y", "z")])
+    blank = ((F.col("x") == 0) & (F.col("y") == 0)) | ((F.col("x") == F.col("y")) & (F.col("y") == F.col("z")))
+    once = cut_(once.withColumn("reason", F.when(~usable(), LIMIT).when(blank, PLACEHOLDER)))
+    bad = once.where(F.col("reason").isNotNull()).select(*KEY, "seq", "us", "reason")
+
+    fine = once.where(F.col("reason").isNull() & F.col("us").isNotNull()).drop("reason")
+    parts = shards(fine, KEY, ["us", "seq"], shard_rows)
+    by: dict[tuple, list] = defaultdict(list)
+    for r in sorted(parts.mapInArrow(_summarise(stuck_run), "shard int, summary binary").collect(), key=lambda r: r.shard):
+        key, summary = pickle.loads(bytes(r.summary))
+        by[key].append(summary)
+    known = {key: _merge(s, stuck_run) for key, s in by.items()}
+    schema = "namespace string, object_id string, us bigint, seq bigint, x double, y double, z double, k bigint, stays boolean, stuck boolean"
+    numbered = cut_(parts.mapInArrow(_numbered(known, stuck_run), schema))
+    kept = numbered.where("stays").select(*KEY, "k", "us", "x", "y", "z")
+    spikes = _busy_spikes(kept, cut, rounds, shard_rows)
+    stuck = numbered.where("stuck").select(*KEY, "seq", "us", F.lit(STUCK).alias("reason"))
+    # a number may stand for a whole run of equal readings
+    spike = numbered.where(~F.col("stuck")).join(spikes, [*KEY, "k"]).select(*KEY, "seq", "us", F.lit(SPIKE).alias("reason"))
+    return bad.unionByName(stuck).unionByName(spike)
 
 
 def flag_readings(feed: DataFrame, *, cut: float = 10.0, stuck_run: int = 8, shard_rows: int = 50_000) -> DataFrame:
@@ -207,19 +404,23 @@ def flag_readings(feed: DataFrame, *, cut: float = 10.0, stuck_run: int = 8, sha
     Defined cases: readings with null ``ts`` are judged by ``limit`` and ``placeholder`` only; rows with a null
     namespace, object_id or seq are left out; sources with fewer than eight usable readings have no spikes; copies
     sent again under a new seq share the verdict; an empty feed gives no rows; further columns are ignored.
-    A source with more than ``shard_rows`` rows is judged per time shard (at most ``MAX_SHARDS_PER_SOURCE``).
+    A source with more than ``shard_rows`` rows is spread over several tasks and judged by the same whole-source values
+    (medians to a rank of 1 in 10 000).
     """
     r = (
         feed.where((F.col("op") == "U") & F.col("namespace").isNotNull() & F.col("object_id").isNotNull())
         .where(F.col("seq").isNotNull())
         .select(*KEY, "seq", F.unix_micros("ts").alias("us"), "x", "y", "z")
     )
-    return (
-        _sharded(r, shard_rows)
-        .groupBy(*KEY, "shard")
-        .applyInPandas(_judge_group(cut, stuck_run), "namespace string, object_id string, seq bigint, us bigint, reason string")
-        .select(*KEY, "seq", F.timestamp_micros("us").alias("ts"), "reason")
-    )
+    schema = "namespace string, object_id string, seq bigint, us bigint, reason string"
+    busy = cut_(r.groupBy(*KEY).count().where(F.col("count") > shard_rows).select(*KEY))
+    n_busy = busy.count()
+    keys = F.broadcast(busy) if n_busy <= MAX_BROADCAST_SOURCES else busy
+    rest = r.join(keys, KEY, "left_anti") if n_busy else r
+    wrong = rest.groupBy(*KEY).applyInPandas(_judge_group(cut, stuck_run), schema)
+    if n_busy:
+        wrong = wrong.unionByName(_judge_busy(r.join(keys, KEY, "left_semi"), cut, stuck_run, ROUNDS, shard_rows))
+    return wrong.select(*KEY, "seq", F.timestamp_micros("us").alias("ts"), "reason")
 
 
 def _judge_group(cut: float, stuck_run: int):  # noqa: ANN202
@@ -229,7 +430,7 @@ def _judge_group(cut: float, stuck_run: int):  # noqa: ANN202
         seq = g["seq"].to_numpy()
         g = g.iloc[np.concatenate([[True], seq[1:] != seq[:-1]])]  # redelivered copies lie side by side
         why = judge(*[g[k].to_numpy(dtype=float) for k in ("us", "x", "y", "z")], cut=cut, stuck_run=stuck_run)
-        hit = (why != "") & g["own"].to_numpy(dtype=bool)
+        hit = why != ""
         out = g.loc[hit, [*KEY, "seq", "us"]].copy()
         out["us"] = out["us"].astype("Int64")
         out["reason"] = why[hit]

@@ -142,6 +142,37 @@ def test_planted_wrong_readings(spark, shard_rows):
     assert {s for (s,) in got} == wrong
 
 
+def test_a_busy_source_is_judged_as_a_whole(spark):
+    """Stuck runs longer than a shard, calm stretches and stretches of repeats among lively ones, equal times and copies."""
+    feed, n = [], 2400
+    for o, seed in (("a", 1), ("b", 2), ("c", 3)):
+        rng = np.random.default_rng(seed)
+        rows = [list(r) for r in track(seed, n, o)[0]]
+        for i, noise in enumerate(rng.normal(0, 3e-5, n)):
+            rows[i][3] += seed * 10_000
+            rows[i][5] += float(noise) if not 300 <= i < 700 else 0.0  # a calm stretch
+        rows[450][6] += 4e-4  # far for the calm stretch only
+        a, b = {"a": (900, 1900), "b": (1195, 1206), "c": (2100, n)}[o]
+        for r in rows[a + 1 : b]:
+            r[5:8] = rows[a][5:8]
+        if o != "a":  # repeats now and then, in one stretch most of the time: below the habit over all readings for b only
+            for i in range(720, 1100 if o == "b" else 2050):
+                if i % 3:
+                    rows[i][5:8] = rows[i - 1][5:8]
+        rows[1901][4], rows[600][4] = rows[1900][4], rows[599][4]
+        feed += [tuple(r) for r in rows]
+    got = {}
+    for shard_rows in (50_000, 200, 61):
+        res = spikes.flag_readings(log_frame(spark, feed + feed[1000:1100]), shard_rows=shard_rows)
+        got[shard_rows] = sorted(tuples(res, "object_id", "seq", "ts", "reason"), key=str)
+    stuck = {o: sum(r[0] == o and r[3] == "stuck" for r in got[50_000]) for o in "abc"}
+    assert stuck["a"] >= 1000
+    assert stuck["b"] >= 11
+    assert stuck["c"] == 0
+    assert got[200] == got[50_000]
+    assert got[61] == got[50_000]
+
+
 def test_sources_that_repeat_themselves_and_edge_cases(spark):
     still = [("buoys", "still", "U", i, i * 10**6, 1.0, 2.0, float(i // 9 % 2)) for i in range(100)]
     few = [("buoys", "few", "U", 1000 + i, i * 10**6, 1.0, 2.0, 3.0) for i in range(3)]
