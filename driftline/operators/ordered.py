@@ -62,7 +62,8 @@ class Scan(Protocol):
 def shards(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_shard: int = 65_536) -> DataFrame:
     """``df`` sorted by (keys, order) in shards of about ``rows_per_shard`` rows, written to the checkpoint folder.
 
-    The column ``shard`` numbers the shards in order.
+    The column ``shard`` numbers the shards in order.  Rows equal in keys and order can't be parted, so copies are to be
+    dropped before (``without_copies``); else they would all lie in one shard.
     """
     rows = df.count()
     n = max(min(shuffle_partitions(df.sparkSession), 1 + rows // 4096), 1 + rows // rows_per_shard)
@@ -71,10 +72,20 @@ def shards(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_sh
     return cut(ranged.withColumn("shard", F.spark_partition_id()))
 
 
+def without_copies(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One row of those equal in ``by``, written to the checkpoint folder.
+
+    Combined map-side, so a row delivered very often is one row per map task.
+    """
+    rest = [F.first(k).alias(k) for k in df.columns if k not in by]
+    return cut(df.groupBy(*by).agg(*rest) if rest else df.distinct())
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], order: Sequence[str], op: Scan) -> Iterator[tuple]:
     """(shard, object, columns as plain lists) of the shard's rows, in order.
 
     Rows equal in keys and order are copies of which one stays: range partitioning keeps them in one shard, side by side.
+    The operators drop them before, so this only keeps results right for a caller who doesn't.
     """
     got = [b for b in batches if b.num_rows]
     if not got:

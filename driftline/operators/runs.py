@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from driftline.constants import EARTH_RADIUS_M
 from driftline.functions.geo import usable
-from driftline.operators.ordered import scan, shards
+from driftline.operators.ordered import scan, shards, without_copies
 
 KEY = ["namespace", "object_id"]
 
@@ -110,7 +110,8 @@ def trajectory_events(batches: DataFrame) -> DataFrame:
 
 def boundaries(events: DataFrame, near_m: float, gap_s: float, rows_per_shard: int = 65_536) -> DataFrame:
     """Boundary rows: key, shard, pos, ts (null on a closing row), prev_ts."""
-    s = shards(events.select(*KEY, "x", "y", "ts"), KEY, ["ts", "x", "y"], rows_per_shard)
+    once = without_copies(events.select(*KEY, "x", "y", "ts"), [*KEY, "ts", "x", "y"])
+    s = shards(once, KEY, ["ts", "x", "y"], rows_per_shard)
     return scan(
         s,
         KEY,

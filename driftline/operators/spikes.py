@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from driftline.constants import EARTH_RADIUS_M, MAX_ALTITUDE_M, MIN_ALTITUDE_M
 from driftline.functions.geo import usable
-from driftline.operators.ordered import shards
+from driftline.operators.ordered import shards, without_copies
 from driftline.session import cut as cut_
 
 KEY = ["namespace", "object_id"]
@@ -369,14 +369,11 @@ def _busy_spikes(kept: DataFrame, cut: float, rounds: int, shard_rows: int) -> D
 
 
 def _judge_busy(readings: DataFrame, cut: float, stuck_run: int, rounds: int, shard_rows: int) -> DataFrame:
-    """namespace, object_id, seq, us, reason of the wrong readings of sources too large for one task."""
-    once = readings.groupBy(*KEY, "us", "seq").agg(*[F.first(c).alias(c) for c in ("x", "y", "z")])
-    blank = ((F.col("x") == 0) & (F.col("y") == 0)) | ((F.col("x") == F.col("y")) & (F.col("y") == F.col("z")))
-    once = cut_(once.withColumn("reason", F.when(~usable(), LIMIT).when(blank, PLACEHOLDER)))
-    bad = once.where(F.col("reason").isNotNull()).select(*KEY, "seq", "us", "reason")
+    """namespace, object_id, seq, us, reason of stuck readings and spikes of sources too large for one task.
 
-    fine = once.where(F.col("reason").isNull() & F.col("us").isNotNull()).drop("reason")
-    parts = shards(fine, KEY, ["us", "seq"], shard_rows)
+    ``readings``: usable, with a time, copies dropped.
+    """
+    parts = shards(readings, KEY, ["us", "seq"], shard_rows)
     by: dict[tuple, list] = defaultdict(list)
     for r in sorted(parts.mapInArrow(_summarise(stuck_run), "shard int, summary binary").collect(), key=lambda r: r.shard):
         key, summary = pickle.loads(bytes(r.summary))
@@ -389,7 +386,7 @@ def _judge_busy(readings: DataFrame, cut: float, stuck_run: int, rounds: int, sh
     stuck = numbered.where("stuck").select(*KEY, "seq", "us", F.lit(STUCK).alias("reason"))
     # a number may stand for a whole run of equal readings
     spike = numbered.where(~F.col("stuck")).join(spikes, [*KEY, "k"]).select(*KEY, "seq", "us", F.lit(SPIKE).alias("reason"))
-    return bad.unionByName(stuck).unionByName(spike)
+    return stuck.unionByName(spike)
 
 
 def flag_readings(feed: DataFrame, *, cut: float = 10.0, stuck_run: int = 8, shard_rows: int = 50_000) -> DataFrame:
@@ -413,22 +410,24 @@ def flag_readings(feed: DataFrame, *, cut: float = 10.0, stuck_run: int = 8, sha
         .select(*KEY, "seq", F.unix_micros("ts").alias("us"), "x", "y", "z")
     )
     schema = "namespace string, object_id string, seq bigint, us bigint, reason string"
-    busy = cut_(r.groupBy(*KEY).count().where(F.col("count") > shard_rows).select(*KEY))
+    # limits and placeholders row by row; only usable readings with a time, each once, get into the groups
+    blank = ((F.col("x") == 0) & (F.col("y") == 0)) | ((F.col("x") == F.col("y")) & (F.col("y") == F.col("z")))
+    once = without_copies(r, [*KEY, "us", "seq"]).withColumn("reason", F.when(~usable(), LIMIT).when(blank, PLACEHOLDER))
+    bad = once.where(F.col("reason").isNotNull()).select(*KEY, "seq", "us", "reason")
+    fine = once.where(F.col("reason").isNull() & F.col("us").isNotNull()).drop("reason")
+    busy = cut_(fine.groupBy(*KEY).count().where(F.col("count") > shard_rows).select(*KEY))
     n_busy = busy.count()
     keys = F.broadcast(busy) if n_busy <= MAX_BROADCAST_SOURCES else busy
-    rest = r.join(keys, KEY, "left_anti") if n_busy else r
-    wrong = rest.groupBy(*KEY).applyInPandas(_judge_group(cut, stuck_run), schema)
+    rest = fine.join(keys, KEY, "left_anti") if n_busy else fine
+    wrong = bad.unionByName(rest.groupBy(*KEY).applyInPandas(_judge_group(cut, stuck_run), schema))
     if n_busy:
-        wrong = wrong.unionByName(_judge_busy(r.join(keys, KEY, "left_semi"), cut, stuck_run, ROUNDS, shard_rows))
+        wrong = wrong.unionByName(_judge_busy(fine.join(keys, KEY, "left_semi"), cut, stuck_run, ROUNDS, shard_rows))
     return wrong.select(*KEY, "seq", F.timestamp_micros("us").alias("ts"), "reason")
 
 
 def _judge_group(cut: float, stuck_run: int):  # noqa: ANN202
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((pdf["seq"].to_numpy(), pdf["us"].to_numpy(dtype=float)))
-        g = pdf.iloc[order]
-        seq = g["seq"].to_numpy()
-        g = g.iloc[np.concatenate([[True], seq[1:] != seq[:-1]])]  # redelivered copies lie side by side
+        g = pdf.iloc[np.lexsort((pdf["seq"].to_numpy(), pdf["us"].to_numpy(dtype=float)))]
         why = judge(*[g[k].to_numpy(dtype=float) for k in ("us", "x", "y", "z")], cut=cut, stuck_run=stuck_run)
         hit = why != ""
         out = g.loc[hit, [*KEY, "seq", "us"]].copy()

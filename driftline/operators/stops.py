@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.geo import usable
-from driftline.operators.ordered import scan, shards
+from driftline.operators.ordered import scan, shards, without_copies
 from driftline.operators.runs import circle, meters, meters_np
 from driftline.session import cut
 
@@ -168,7 +168,7 @@ def stops_and_trips(
     Defined cases: redelivered copies (same time and seq) count once; pings of equal time are taken in order of seq; one or two pings away and back, and silence,
     do not end a stop; an object with fewer than two stops has no trip; no pings give no rows.
     """
-    s = shards(readings, KEY, ["us", "seq"], rows_per_shard)
+    s = shards(without_copies(readings, [*KEY, "us", "seq"]), KEY, ["us", "seq"], rows_per_shard)
     rows = cut(scan(s, KEY, ["us", "seq"], StopScan(radius_m, min_stop_s, max_away, max_speed), SCHEMA))
     path = rows.where(F.col("kind") == "path")
     w = Window.partitionBy(*KEY).orderBy("start_shard")

@@ -185,6 +185,33 @@ def test_sources_that_repeat_themselves_and_edge_cases(spark):
     assert spikes.flag_readings(log_frame(spark, [])).collect() == []
 
 
+def _group_size(*_):
+    def f(pdf):
+        return pdf.head(1).assign(seq=len(pdf), reason="size")[["namespace", "object_id", "seq", "us", "reason"]]
+
+    return f
+
+
+def test_copies_and_readings_without_time_stay_out_of_the_groups(spark, monkeypatch):
+    """One record delivered very often, or very many without a time, must not swell a shard or a group."""
+    given = []
+    for module in (runs, stops):
+        real = module.shards
+        monkeypatch.setattr(module, "shards", lambda df, *a, real=real: given.append(df.count()) or real(df, *a))
+    ev = [("a", 1.0, 1.0, float(t)) for t in range(20)] + [("a", 1.0, 1.0, 7.0)] * 500
+    assert tuples(runs.collapse_runs(runs.trajectory_events(events_frame(spark, ev))), "n") == [(20,)]
+    pings = [("couriers", "a", "U", i, i * 60 * 10**6, 1.0, 1.0, 0.0) for i in range(20)]
+    feed = log_frame(spark, pings + pings[7:8] * 500)
+    assert tuples(stops.stops_and_trips(stops.pings(feed)), "start_seq", "end_seq", "pings") == [(0, 19, 20)]
+    assert given == [20, 20]
+
+    timeless = [("couriers", "a", "U", 100 + i, None, 1.0, 2.0 if i else 95.0, 0.0) for i in range(300)]
+    pings = [(*p[:6], 2.0, 0.0) for p in pings]
+    monkeypatch.setattr(spikes, "_judge_group", _group_size)
+    got = tuples(spikes.flag_readings(log_frame(spark, pings + pings[7:8] * 500 + timeless)), "seq", "reason")
+    assert sorted(got) == [(20, "size"), (100, "limit")]
+
+
 def spec(spark):
     return spark.createDataFrame([("gauges", 60), ("collars", 900), ("gauges", 60), ("off", 0), (None, 5)], "namespace string, period_s int")
 
