@@ -151,6 +151,14 @@ def regular_series(
 
 
 def unfilled_slots(readings: DataFrame, spec: DataFrame, shard_slots: int = 4096) -> DataFrame:
-    """namespace, object_id, slot_start of each period without a reading between an object's first and last one."""
-    filled = slot_readings(readings.where(F.col("op") == "U"), spec)
-    return missing_slots(gaps(filled, (), shard_slots)).select(*KEY, "slot_start")
+    """namespace, object_id, slot_start of each period without a reading between an object's first and last one.
+
+    Taken from the regular series; a filled period whose values aren't numbers stops the query.
+    """
+    s = regular_series(readings, spec, shard_slots=shard_slots).where(F.col("status") != "reading")
+    lacks = F.lit(False)
+    for k in VALUES:
+        lacks |= F.col(k).isNull() | F.isnan(k)
+    wrong = (F.col("status") == "filled") & lacks
+    slot = F.when(wrong, F.raise_error(F.lit("filled slot without a value")).cast("bigint")).otherwise(F.col("slot_start"))
+    return s.select(*KEY, slot.alias("slot_start"))

@@ -230,6 +230,15 @@ def test_unfilled_slots_equal_brute_force(spark, seed, shard_slots):
     assert set(got) == brute.unfilled([dict(zip(names, r, strict=True)) for r in rows], {"gauges": 60, "collars": 900})
 
 
+def test_unfilled_slots_run_the_interpolation(spark, monkeypatch):
+    """The periods come from the series itself: a fill that gives no number must not pass unnoticed."""
+    rows = [("gauges", "g", "U", i, s * 60 * 10**6, 1.0, 2.0, float(s)) for i, s in enumerate((0, 1, 4, 5))]
+    assert sorted(tuples(resample.unfilled_slots(log_frame(spark, rows), spec(spark)), "slot_start")) == [(120,), (180,)]
+    monkeypatch.setattr(resample, "_slope", lambda *_: F.lit(float("nan")))
+    with pytest.raises(Exception, match="filled slot without a value"):
+        resample.unfilled_slots(log_frame(spark, rows), spec(spark)).collect()
+
+
 def pchip(ts, vs, at):
     """Monotone cubic at ``at`` by the textbook formulas."""
     h, d = np.diff(ts), np.diff(vs) / np.diff(ts)
