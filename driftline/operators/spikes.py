@@ -1,8 +1,8 @@
 """Wrong readings: spikes, stuck values and impossible positions, judged against the source itself.
 
-Per source the track (local metres east and north, and altitude) is taken as an integrated autoregression of
-its own: the innovation scale is estimated robustly (medians, globally and in a moving window), so neither outliers
-nor calm and lively phases distort it.  In that model the effect of an additive outlier in a block of one to
+Per source the track (local metres east and north, and altitude) is compared with the line between its neighbours in
+time, in place of a fitted autoregression (no coefficient is estimated): the innovation scale is estimated robustly (medians, globally and in a moving window), so neither outliers
+nor calm and lively phases distort it.  The effect of an additive outlier in a block of one to
 three readings is the error of interpolating the block from its two neighbours in time, and the effect of a level
 shift is the step between those neighbours.  A block is a spike when the first is far out of scale and the second
 is ordinary; the tests are iterated with the flagged readings taken out.  Stuck runs and physical limits are
