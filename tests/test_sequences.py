@@ -1,6 +1,7 @@
 """Runs, stops, spikes and regular grids against plain versions, with shards small enough to cut objects apart."""
 
 import random
+import time
 
 import brute
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from helpers import log_frame, tuples
 from pyspark.sql import functions as F
 
-from driftline.operators import resample, runs, spikes, stops
+from driftline.operators import ordered, resample, runs, spikes, stops
 
 BATCHES = "namespace string, object_id string, points array<struct<x:double,y:double,ts:double>>"
 
@@ -40,14 +41,14 @@ def walk(seed, n=600, parked=0.7):
 @pytest.mark.parametrize(("rows", "parked"), [(17, 0.7), (60, 1.0), (100_000, 0.7)])
 def test_runs_equal_brute_force(spark, seed, rows, parked):
     ev = walk(seed, parked=parked)
-    got = runs.collapse_runs(runs.trajectory_events(events_frame(spark, ev)), rows_per_shard=rows)
+    got = runs.collapse_runs(runs.trajectory_events(events_frame(spark, ev)), rows_per_shard=rows, bin_s=60.0)
     want = brute.runs([(("n", o), x, y, t) for o, x, y, t in ev])
     assert sorted(tuples(got, "object_id", "start_ts", "end_ts", "n")) == sorted((k[1], a, b, n) for k, a, b, n in want)
 
 
 def test_runs_of_one_endless_stay(spark):
     ev = [("p", 1.0, 1.0, float(i)) for i in range(500)]
-    got = runs.collapse_runs(runs.trajectory_events(events_frame(spark, ev)), rows_per_shard=40)
+    got = runs.collapse_runs(runs.trajectory_events(events_frame(spark, ev)), rows_per_shard=40, bin_s=20.0)
     assert tuples(got, "start_ts", "end_ts", "n", "duration_s") == [(0.0, 499.0, 500, 499.0)]
 
 
@@ -81,7 +82,7 @@ def courier(seed, n=500):
 @pytest.mark.parametrize("rows", [13, 150, 100_000])
 def test_stops_equal_brute_force(spark, seed, rows):
     feed = courier(seed)
-    got = stops.stops_and_trips(stops.pings(log_frame(spark, feed + feed[:40])), rows_per_shard=rows)
+    got = stops.stops_and_trips(stops.pings(log_frame(spark, feed + feed[:40])), rows_per_shard=rows, bin_s=rows * 10.0)
     want = []
     for o in ("hot", "b", "c"):
         st = brute.stops(sorted((r[4], r[3], r[5], r[6]) for r in feed if r[1] == o))
@@ -93,7 +94,7 @@ def test_stops_equal_brute_force(spark, seed, rows):
 def test_trip_distance_and_duration_do_not_depend_on_the_shards(spark):
     feed = courier(5, 120)
     cols = ["object_id", "kind", "start_seq", F.round("distance_m", 3), "duration_s", "pings"]
-    one, many = (sorted(stops.stops_and_trips(stops.pings(log_frame(spark, feed)), rows_per_shard=n).select(*cols).collect(), key=str) for n in (100_000, 11))
+    one, many = (sorted(stops.stops_and_trips(stops.pings(log_frame(spark, feed)), rows_per_shard=n, bin_s=120.0).select(*cols).collect(), key=str) for n in (100_000, 11))
     assert one == many
     by = {r[3]: r for r in feed}
     trip = next(r for r in one if r.kind == "trip")
@@ -196,8 +197,8 @@ def test_copies_and_readings_without_time_stay_out_of_the_groups(spark, monkeypa
     """One record delivered very often, or very many without a time, must not swell a shard or a group."""
     given = []
     for module in (runs, stops):
-        real = module.shards
-        monkeypatch.setattr(module, "shards", lambda df, *a, real=real: given.append(df.count()) or real(df, *a))
+        real = module.time_shards
+        monkeypatch.setattr(module, "time_shards", lambda df, *a, real=real, **k: given.append(df.count()) or real(df, *a, **k))
     ev = [("a", 1.0, 1.0, float(t)) for t in range(20)] + [("a", 1.0, 1.0, 7.0)] * 500
     assert tuples(runs.collapse_runs(runs.trajectory_events(events_frame(spark, ev))), "n") == [(20,)]
     pings = [("couriers", "a", "U", i, i * 60 * 10**6, 1.0, 1.0, 0.0) for i in range(20)]
@@ -281,3 +282,38 @@ def test_one_slot_and_no_readings(spark):
     one = [("gauges", "g", "U", 1, 61 * 10**6, 1.0, 2.0, 3.0)]
     assert tuples(resample.regular_series(log_frame(spark, one), spec(spark)), "slot_start", "status") == [(60, "reading")]
     assert resample.regular_series(log_frame(spark, []), spec(spark)).collect() == []
+
+
+def walking(n, step=1.5):
+    """One courier that walks straight on, one ping a second."""
+    return [("couriers", "w", "U", i, i * 10**6, 10 + step * i / 111_000, 0.0, 0.0) for i in range(n)]
+
+
+def test_number_of_passes_does_not_grow_with_the_shards(spark):
+    taken = {}
+    for n in (2_000, 4_000):
+        feed = log_frame(spark, walking(n))
+        ready = stops.legs(stops.pings(feed), 100.0, 200, halo_s=300.0, halo_rows=3, bin_s=100.0)
+        got = ordered.compose(ready.sortWithinPartitions("namespace", "object_id", "shard", "us", "seq"), stops.StopScan(100.0, 300.0, 2))
+        ev = events_frame(spark, [("w", r[5], r[6], r[4] / 1e6) for r in walking(n)])
+        of_runs = ordered.compose(runs.prepared_events(runs.trajectory_events(ev), 200, 100.0), runs.RunScan(10.0, 1800.0))
+        taken[n] = got[2], of_runs[2]
+        assert min(len(got[0]), len(of_runs[0])) >= n // 300
+    assert taken[2_000] == taken[4_000] == (1, 1)
+
+
+def test_states_are_small_and_scans_linear():
+    """Pings within four minutes on a slow way: no ping is looked at again and again, and none are kept in the state."""
+    op, cost = stops.StopScan(100.0, 300.0, 2), {}
+    for n in (4_000, 8_000):
+        us = np.arange(n) * (240_000_000 // n)
+        x = 10 + 120 * np.arange(n) / n / 111_000
+        cols = {"x": x, "y": np.zeros(n), "us": us, "seq": np.arange(n), "path_m": np.zeros(n), "halo": np.zeros(n, dtype=bool)}
+        best = 9e9
+        for _ in range(3):
+            start = time.perf_counter()
+            left = op.run(op.load(("n", "o"), 0, cols), None, False, None)
+            best = min(best, time.perf_counter() - start)
+        cost[n] = best
+        assert left[0] == "free" and len(left) == 3
+    assert cost[8_000] < 3 * cost[4_000] + 0.05
