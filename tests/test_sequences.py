@@ -317,3 +317,16 @@ def test_states_are_small_and_scans_linear():
         cost[n] = best
         assert left[0] == "free" and len(left) == 3
     assert cost[8_000] < 3 * cost[4_000] + 0.05
+
+
+@pytest.mark.parametrize("phi", [(0.5, 0.2), (-0.5, 0.0)])
+def test_coefficients_of_a_source_are_found_despite_outliers(phi):
+    rng, n = np.random.default_rng(4), 20_000
+    u = np.zeros(n)
+    for i in range(2, n):
+        u[i] = phi[0] * u[i - 1] + phi[1] * u[i - 2] + rng.normal()
+    x = np.cumsum(u)
+    x[rng.integers(0, n, n // 50)] += 80
+    got = spikes.fit(np.arange(n, dtype=float), x)
+    assert got[:2] == pytest.approx(phi, abs=0.12)
+    assert got[2] == 1.0
