@@ -16,7 +16,7 @@ class Config:
     buffer_capacity: int = 100
     tie: str = "last"
     envelope: str = "reference"
-    replay_batches: int = 4
+    replay_batches: int = 2
 
     def __post_init__(self) -> None:
         if self.buffer_capacity < 1 or self.replay_batches < 1:

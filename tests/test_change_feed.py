@@ -76,3 +76,30 @@ def test_base_rows(spark):
 def test_payload_survives(spark):
     rows = [(*A, "U", 1, 7, 1.0, 2.0, 3.0, '{"note":"a|b|c","n":1}')]
     assert tuples(replay(log_frame(spark, rows)), "x", "y", "z", "metadata") == [(1.0, 2.0, 3.0, '{"note":"a|b|c","n":1}')]
+
+
+@pytest.mark.parametrize("tie", ["last", "first"])
+def test_older_batches_are_left_fewer_rows(spark, tie):
+    """Keys that are written again and again are resolved by the newest batches; late records keep theirs open."""
+    rows = [u(i, i * 1000, ("n", f"o{i % 50}")) for i in range(1, 2001)]
+    rows[100] = u(101, 10**9, ("n", "o1"))  # far ahead of its time: wins
+    rows[1100] = t(1101, ("n", "o2"))
+    rows[700] = u(701, 10**9, ("n", "o2"))  # as far ahead, but deleted
+    left = {}
+    got = tuples(replay(log_frame(spark, rows), batches=4, tie=tie, on_batch=lambda b, df: left.update({b: df.count()})), "object_id", "seq")
+    want = brute.replay([dict(zip(["namespace", "object_id", "op", "seq", "ts", "x", "y", "z"], r, strict=True)) for r in rows])
+    assert sorted(got) == sorted((k[1], r["seq"]) for k, r in want.items())
+    assert left[3] >= 499
+    assert max(left[b] for b in (0, 1, 2)) < 100
+
+
+@pytest.mark.parametrize("tie", ["last", "first"])
+@pytest.mark.parametrize("seed", range(3))
+def test_onto_a_base(spark, seed, tie):
+    rnd, rows = random.Random(seed), []
+    for seq in range(1, 300):
+        key = ("n", f"o{rnd.randrange(30)}")
+        rows.append(t(seq, key) if rnd.random() < 0.2 else u(seq, rnd.randrange(40) + seq // 10, key))
+    base = replay(log_frame(spark, rows[:150]), tie=tie)
+    got = replay(log_frame(spark, rows[150:]), base, tie=tie, batches=3)
+    assert sorted(tuples(got, "object_id", "seq")) == sorted(tuples(replay(log_frame(spark, rows), tie=tie), "object_id", "seq"))
