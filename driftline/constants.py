@@ -9,8 +9,6 @@ METERS_PER_DEGREE = 111_000.0
 MAX_LAT_FOR_LON = 89.9
 MIN_ALTITUDE_M = -11_000.0
 MAX_ALTITUDE_M = 100_000.0
-MAX_LIMIT = 100_000
-DEFAULT_LIMIT = 100
 KILOMETER = 1_000.0
 MILE = 1_609.344
 NAUTICAL_MILE = 1_852.0

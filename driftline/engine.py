@@ -142,37 +142,37 @@ class Engine:
     def get(self, namespace: str, object_id: str) -> DataFrame:
         return self.current().where((F.col("namespace") == namespace) & (F.col("object_id") == object_id))
 
-    def query_radius(self, namespace: str, center: Sequence[float], radius: float, limit: int = 100) -> DataFrame:
+    def query_radius(self, namespace: str, center: Sequence[float], radius: float, limit: int | None = 100) -> DataFrame:
         return spatial.radius_3d(self.current(), namespace, center, radius, limit, envelope=self.config.envelope)
 
-    def query_near(self, namespace: str, object_id: str, radius: float, limit: int = 100) -> DataFrame:
+    def query_near(self, namespace: str, object_id: str, radius: float, limit: int | None = 100) -> DataFrame:
         return spatial.near_object(self.current(), namespace, object_id, radius, limit)
 
-    def query_bbox(self, namespace: str, *box: float, limit: int = 100) -> DataFrame:
+    def query_bbox(self, namespace: str, *box: float, limit: int | None = 100) -> DataFrame:
         return spatial.bbox(self.current(), namespace, *box, limit=limit)
 
-    def query_bbox_3d(self, namespace: str, *box: float, limit: int = 100) -> DataFrame:
+    def query_bbox_3d(self, namespace: str, *box: float, limit: int | None = 100) -> DataFrame:
         return spatial.bbox_3d(self.current(), namespace, box[:3], box[3:], limit)
 
-    def query_bbox_near_object(self, namespace: str, object_id: str, width: float, height: float, limit: int = 100) -> DataFrame:
+    def query_bbox_near_object(self, namespace: str, object_id: str, width: float, height: float, limit: int | None = 100) -> DataFrame:
         return spatial.bbox_near_object(self.current(), namespace, object_id, width, height, limit)
 
     def query_bbox_3d_near_object(
-        self, namespace: str, object_id: str, width: float, height: float, depth: float, limit: int = 100
+        self, namespace: str, object_id: str, width: float, height: float, depth: float, limit: int | None = 100
     ) -> DataFrame:
         return spatial.bbox_3d_near_object(self.current(), namespace, object_id, width, height, depth, limit)
 
     def query_cylinder(
-        self, namespace: str, center: Sequence[float], min_z: float, max_z: float, radius: float, limit: int = 100
+        self, namespace: str, center: Sequence[float], min_z: float, max_z: float, radius: float, limit: int | None = 100
     ) -> DataFrame:
         return spatial.cylinder(self.current(), namespace, center, min_z, max_z, radius, limit)
 
     def query_cylinder_near_object(
-        self, namespace: str, object_id: str, min_z: float, max_z: float, radius: float, limit: int = 100
+        self, namespace: str, object_id: str, min_z: float, max_z: float, radius: float, limit: int | None = 100
     ) -> DataFrame:
         return spatial.cylinder_near_object(self.current(), namespace, object_id, min_z, max_z, radius, limit)
 
-    def query_polygon(self, namespace: str, exterior: Sequence, interiors: Sequence = (), limit: int = 100) -> DataFrame:
+    def query_polygon(self, namespace: str, exterior: Sequence, interiors: Sequence = (), limit: int | None = 100) -> DataFrame:
         return spatial.polygon(self.current(), namespace, exterior, interiors, limit)
 
     contains = query_polygon
@@ -184,7 +184,7 @@ class Engine:
         return spatial.knn_near_object(self.current(), namespace, object_id, k)
 
     def query_trajectory(
-        self, namespace: str, object_id: str, start: float | None = None, end: float | None = None, limit: int = 100
+        self, namespace: str, object_id: str, start: float | None = None, end: float | None = None, limit: int | None = 100
     ) -> DataFrame:
         self._open()
         return history.trajectory(self.updates(), namespace, object_id, start, end, limit)

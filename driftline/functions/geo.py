@@ -254,14 +254,11 @@ def ring_edges(ring: Column) -> Column:
         F.coalesce(ring, F.array().cast("array<struct<x:double,y:double>>")),
         lambda p: p["x"].isNotNull() & p["y"].isNotNull() & ~F.isnan(p["x"]) & ~F.isnan(p["y"]),
     )
-    return F.transform(
+    after = F.concat(F.slice(pts, 2, F.greatest(F.size(pts) - 1, F.lit(0))), F.slice(pts, 1, 1))
+    return F.zip_with(
         pts,
-        lambda p, i: F.struct(
-            p["x"].alias("x1"),
-            p["y"].alias("y1"),
-            F.get(pts, (i + 1) % F.size(pts))["x"].alias("x2"),
-            F.get(pts, (i + 1) % F.size(pts))["y"].alias("y2"),
-        ),
+        after,
+        lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")),
     )
 
 
@@ -277,15 +274,14 @@ def ring_position(x: Num, y: Num, edges: Column) -> Column:
 
 
 def ring_area(ring: Column) -> Column:
-    """Spherical area of one ring in square metres (unsigned), by the Chamberlain-Duquette formula."""
+    """Spherical area of one ring in square metres (unsigned), by the Chamberlain-Duquette formula, summed over its edges in one pass."""
     edges = ring_edges(ring)
-    n = F.size(edges)
-    term = F.transform(
+    total = F.aggregate(
         edges,
-        lambda e, i: (F.radians(e["x2"]) - F.radians(F.get(edges, (i + n - 1) % n)["x1"])) * F.sin(F.radians(e["y1"])),
+        F.lit(0.0),
+        lambda a, e: a + F.radians(e["x2"] - e["x1"]) * (F.sin(F.radians(e["y1"])) + F.sin(F.radians(e["y2"]))),
     )
-    total = F.aggregate(term, F.lit(0.0), lambda a, t: a + t)
-    return F.when(n < 3, F.lit(0.0)).otherwise(F.abs(total) * F.lit(WGS84_A * WGS84_A / 2.0))
+    return F.when(F.size(edges) < 3, F.lit(0.0)).otherwise(F.abs(total) * F.lit(WGS84_A * WGS84_A / 2.0))
 
 
 def polygon_area(exterior: Column, interiors: Column) -> Column:

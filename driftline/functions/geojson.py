@@ -39,14 +39,17 @@ def _feature(x: Num, y: Num, properties: Column) -> Column:
     )
 
 
-def feature_collections(points: DataFrame, by: Sequence[str], properties: Column, per_part: int = 10_000) -> DataFrame:
+def feature_collections(points: DataFrame, by: Sequence[str], properties: Column, per_part: int | None = None) -> DataFrame:
     """Feature collections of the groups ``by``: by, part, features, geojson.
 
-    A group of any size is cut into parts of about ``per_part`` features (by a hash of its coordinates), so that no
-    collection has to fit into one task.
+    One collection per group by default, which is one value and so has to fit into one task; with ``per_part`` a group is
+    cut into parts of about so many features (by a hash of its coordinates).
     """
-    w = points.groupBy(*by).count().select(*by, F.ceil(F.col("count") / per_part).alias("parts"))
-    p = points.join(w, list(by)).withColumn("part", F.pmod(F.xxhash64("x", "y", *by, *_ids(points)), F.col("parts")))
+    if per_part is None:
+        p = points.withColumn("part", F.lit(0).cast("bigint"))
+    else:
+        w = points.groupBy(*by).count().select(*by, F.ceil(F.col("count") / per_part).alias("parts"))
+        p = points.join(w, list(by)).withColumn("part", F.pmod(F.xxhash64("x", "y", *by, *_ids(points)), F.col("parts")))
     rows = p.groupBy(*by, "part").agg(F.sort_array(F.collect_list(feature("x", "y", properties))).alias("f"))
     out = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join("f", ","), F.lit("]}"))
     return rows.select(*by, "part", F.size("f").alias("features"), out.alias("geojson"))

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.constants import MAX_ALTITUDE_M, MAX_LIMIT, MAX_RADIUS_M, MIN_ALTITUDE_M
+from driftline.constants import MAX_ALTITUDE_M, MAX_RADIUS_M, MIN_ALTITUDE_M
 from driftline.errors import InvalidInputError, InvalidTimestampError
 from driftline.functions.geo import usable
 
@@ -75,10 +75,11 @@ def bbox_3d(min_x: float, min_y: float, min_z: float, max_x: float, max_y: float
         raise InvalidInputError("a box needs min < max on all axes")
 
 
-def limit(n: int) -> int:
-    if n < 0:
+def limit(n: int | None) -> int | None:
+    """A limit as it is given; None is none."""
+    if n is not None and n < 0:
         raise InvalidInputError("limit must not be negative")
-    return min(n, MAX_LIMIT)
+    return n
 
 
 def seconds(s: float) -> int:

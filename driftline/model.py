@@ -66,6 +66,10 @@ class TemporalPoint:
     def __post_init__(self) -> None:
         validate.seconds(self.timestamp)
 
+    def distance_to(self, other: TemporalPoint) -> float:
+        """Metres with altitude, whatever the times."""
+        return self.point.distance_3d(other.point)
+
 
 @dataclass(frozen=True)
 class Box:

@@ -15,7 +15,7 @@ def trajectory(
     object_id: str,
     start: float | None = None,
     end: float | None = None,
-    limit: int = 100,
+    limit: int | None = 100,
 ) -> DataFrame:
     """U records with start <= ts <= end (epoch seconds), newest first: x, y, z, metadata, ts, seq.
 
@@ -29,7 +29,8 @@ def trajectory(
     if end is not None:
         df = df.where(F.col("ts") <= F.timestamp_micros(F.lit(validate.seconds(end))))
     df = df.select("x", "y", "z", "metadata", "ts", "seq").distinct()
-    return df.orderBy(F.col("ts").desc(), F.col("seq").desc()).limit(validate.limit(limit))
+    n = validate.limit(limit)
+    return df if n is None else df.orderBy(F.col("ts").desc(), F.col("seq").desc()).limit(n)
 
 
 def uploads_to_updates(batches: DataFrame, first_seq: int = 0) -> DataFrame:

@@ -35,9 +35,10 @@ def _finite(d: Column) -> Column:
     return ~F.isnan(d) & (F.abs(d) < float("inf"))
 
 
-def _top(df: DataFrame, limit: int, *order: str) -> DataFrame:
+def _top(df: DataFrame, limit: int | None, *order: str) -> DataFrame:
+    """The first ``limit`` rows in order; all rows, unordered, without a limit."""
     n = validate.limit(limit)
-    return df.orderBy(*order, "object_id").limit(n)
+    return df if n is None else df.orderBy(*order, "object_id").limit(n)
 
 
 def _ball(
@@ -56,7 +57,7 @@ def radius_3d(
     namespace: str,
     center: Sequence[float],
     radius: float,
-    limit: int = 100,
+    limit: int | None = 100,
     *,
     envelope: str = "reference",
 ) -> DataFrame:
@@ -73,7 +74,7 @@ def radius_2d(
     namespace: str,
     center: Sequence[float],
     radius: float,
-    limit: int = 100,
+    limit: int | None = 100,
     *,
     envelope: str = "reference",
 ) -> DataFrame:
@@ -111,7 +112,7 @@ def cylinder(
     min_z: float,
     max_z: float,
     radius: float,
-    limit: int = 100,
+    limit: int | None = 100,
     *,
     envelope: str = "reference",
 ) -> DataFrame:
@@ -178,7 +179,7 @@ def knn_metric(points: DataFrame, center: Sequence[float], k: int, metric: str =
 
 
 def bbox(
-    current: DataFrame, namespace: str, min_x: float, min_y: float, max_x: float, max_y: float, limit: int = 100
+    current: DataFrame, namespace: str, min_x: float, min_y: float, max_x: float, max_y: float, limit: int | None = 100
 ) -> DataFrame:
     """Objects in the box, edges included, any altitude; in order of object_id."""
     validate.bbox(min_x, min_y, max_x, max_y)
@@ -187,7 +188,7 @@ def bbox(
 
 
 def bbox_3d(
-    current: DataFrame, namespace: str, lo: Sequence[float], hi: Sequence[float], limit: int = 100
+    current: DataFrame, namespace: str, lo: Sequence[float], hi: Sequence[float], limit: int | None = 100
 ) -> DataFrame:
     validate.bbox_3d(*lo, *hi)
     hit = of_namespace(current, namespace).where(bbox3d_contains("x", "y", "z", lo, hi))
@@ -199,7 +200,7 @@ def polygon(
     namespace: str,
     exterior: Sequence[tuple[float, float]],
     interiors: Sequence[Sequence[tuple[float, float]]] = (),
-    limit: int = 100,
+    limit: int | None = 100,
 ) -> DataFrame:
     """Objects strictly inside the polygon and not inside or on its holes."""
     validate.polygon(exterior, interiors)
@@ -230,20 +231,20 @@ def position_of(current: DataFrame, namespace: str, object_id: str) -> tuple[flo
     return row.x, row.y, row.z
 
 
-def near_object(current: DataFrame, namespace: str, object_id: str, radius: float, limit: int = 100) -> DataFrame:
+def near_object(current: DataFrame, namespace: str, object_id: str, radius: float, limit: int | None = 100) -> DataFrame:
     """``radius_3d`` around an object's current position; the object itself is included."""
     return radius_3d(current, namespace, position_of(current, namespace, object_id), radius, limit)
 
 
 def cylinder_near_object(
-    current: DataFrame, namespace: str, object_id: str, min_z: float, max_z: float, radius: float, limit: int = 100
+    current: DataFrame, namespace: str, object_id: str, min_z: float, max_z: float, radius: float, limit: int | None = 100
 ) -> DataFrame:
     x, y, _ = position_of(current, namespace, object_id)
     return cylinder(current, namespace, (x, y), min_z, max_z, radius, limit)
 
 
 def bbox_near_object(
-    current: DataFrame, namespace: str, object_id: str, width: float, height: float, limit: int = 100
+    current: DataFrame, namespace: str, object_id: str, width: float, height: float, limit: int | None = 100
 ) -> DataFrame:
     """Box of ``width`` x ``height`` degrees around the object; refused when it leaves the globe's coordinates."""
     x, y, _ = position_of(current, namespace, object_id)
@@ -251,7 +252,7 @@ def bbox_near_object(
 
 
 def bbox_3d_near_object(
-    current: DataFrame, namespace: str, object_id: str, width: float, height: float, depth: float, limit: int = 100
+    current: DataFrame, namespace: str, object_id: str, width: float, height: float, depth: float, limit: int | None = 100
 ) -> DataFrame:
     x, y, z = position_of(current, namespace, object_id)
     lo = (x - width / 2, y - height / 2, z - depth / 2)

@@ -6,7 +6,6 @@ both sides, since the last bits of trigonometric functions differ between engine
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from driftline.operators import batch, geometry, history, index, proximity, spat
 from driftline.operators import stats as counters
 from driftline.operators.change_feed import replay
 from driftline.operators.runs import trajectory_events
-from driftline.session import ensure_checkpoint_dir
+from driftline.session import shared_folder
 from driftline.sources import logio
 from driftline.sources.tables import table
 from driftline.streaming import latest
@@ -162,6 +161,15 @@ def current_state_first_tie(spark: SparkSession, sf: str) -> DataFrame:
     return _state(spark, sf, "first")
 
 
+@query(f"WITH {state()} SELECT {STATE_COLS} FROM state")
+def state_onto_base(spark: SparkSession, sf: str) -> DataFrame:
+    """The newer half of the feed applied to the state after the older half."""
+    f = feed(spark, sf)
+    middle = f.agg(F.percentile_approx("seq", 0.5)).first()[0]
+    s = replay(f.where(F.col("seq") > middle), replay(f.where(F.col("seq") <= middle)))
+    return s.select("namespace", "object_id", "seq", F.unix_micros("ts").alias("ts_us"), "x", "y", "z", "metadata")
+
+
 @query(f"WITH {LOC} SELECT object_id, x, y, z, metadata FROM loc WHERE namespace = '{NS}' ORDER BY greatest(abs(x) / 2, abs(y)), object_id LIMIT 1")
 def get(spark: SparkSession, sf: str) -> DataFrame:
     loc = locations(spark, sf)
@@ -549,9 +557,17 @@ def namespace_bbox(spark: SparkSession, sf: str) -> DataFrame:
     return geometry.extent(locations(spark, sf))
 
 
-@query()
+@query(
+    f"""WITH {LOC}, p AS (SELECT DISTINCT namespace, x, y FROM loc),
+    e AS (SELECT a.namespace, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM p a JOIN p b ON a.namespace = b.namespace AND (a.x <> b.x OR a.y <> b.y))
+    SELECT namespace, x1 AS x, y1 AS y FROM e JOIN p USING (namespace) GROUP BY namespace, x1, y1, x2, y2
+    HAVING bool_and((x2 - x1) * (p.y - y1) - (y2 - y1) * (p.x - x1) > 0 OR ((x2 - x1) * (p.y - y1) - (y2 - y1) * (p.x - x1) = 0
+      AND p.x BETWEEN least(x1, x2) AND greatest(x1, x2) AND p.y BETWEEN least(y1, y2) AND greatest(y1, y2)))"""
+)
 def convex_hull(spark: SparkSession, sf: str) -> DataFrame:
-    return geometry.convex_hull(locations(spark, sf))
+    """Vertices of the hulls."""
+    ring = geometry.convex_hull(locations(spark, sf)).select("namespace", F.explode("ring").alias("p"))
+    return ring.select("namespace", "p.x", "p.y").distinct()
 
 
 AREA = """WITH rings AS (SELECT namespace, fence_id, 0 AS ring, exterior AS pts FROM polygon_in UNION ALL
@@ -608,20 +624,37 @@ def geojson_point(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("namespace", "object_id", *[at[k].alias(k) for k in "xyz"], kind)
 
 
-@query()
+@query(
+    f"WITH {LOC} SELECT namespace, count(*) OVER (PARTITION BY namespace) AS features, object_id, x, y, 'Feature' AS kind FROM loc"
+)
 def feature_collection(spark: SparkSession, sf: str) -> DataFrame:
+    """One collection per namespace, read back feature by feature."""
     props = F.create_map(F.lit("id"), F.col("object_id"))
-    return geojson.feature_collections(locations(spark, sf), ["namespace"], props)
+    got = geojson.feature_collections(locations(spark, sf), ["namespace"], props)
+    schema = "type string, features array<struct<type:string,geometry:struct<coordinates:array<double>>,properties:map<string,string>>>"
+    f = got.select("namespace", F.col("features").cast("bigint").alias("features"), F.explode(F.from_json("geojson", schema)["features"]).alias("f"))
+    at = F.col("f.geometry.coordinates")
+    return f.select("namespace", "features", F.col("f.properties")["id"].alias("object_id"), at[0].alias("x"), at[1].alias("y"), F.col("f.type").alias("kind"))
 
 
-@query("SELECT fence_id, len(exterior) AS exterior_points, coalesce(len(interiors), 0) AS holes FROM polygon_in")
+@query(
+    """SELECT fence_id, len(exterior) AS exterior_points, coalesce(len(interiors), 0) AS holes,
+    round(list_sum(list_transform(exterior, lambda p: p.x + 2 * p.y)), 6) AS outer_sum,
+    round(coalesce(list_sum(list_transform(interiors, lambda r: list_sum(list_transform(r, lambda p: p.x + 2 * p.y)))), 0.0), 6) AS inner_sum
+    FROM polygon_in"""
+)
 def geojson_polygon(spark: SparkSession, sf: str) -> DataFrame:
     """Polygons written as GeoJSON and read back."""
     df = table(spark, sf, "polygon_in").select(
         "fence_id", geojson.parse_polygon(geojson.polygon(F.col("exterior"), F.col("interiors"))).alias("p")
     )
     size = lambda c: F.size(c).cast("bigint")
-    return df.select("fence_id", size("p.exterior").alias("exterior_points"), size("p.interiors").alias("holes"))
+    total = lambda ring: F.aggregate(ring, F.lit(0.0), lambda a, p: a + p["x"] + 2 * p["y"])
+    holes = F.aggregate("p.interiors", F.lit(0.0), lambda a, r: a + total(r))
+    return df.select(
+        "fence_id", size("p.exterior").alias("exterior_points"), size("p.interiors").alias("holes"),
+        F.round(total(F.col("p.exterior")), 6).alias("outer_sum"), F.round(holes, 6).alias("inner_sum"),
+    )
 
 
 @query(f"WITH {LOC} SELECT DISTINCT namespace FROM loc")
@@ -655,7 +688,7 @@ def parse_key(spark: SparkSession, sf: str) -> DataFrame:
 def stats(spark: SparkSession, sf: str) -> DataFrame:
     f = feed(spark, sf)
     good, _ = validate.quarantine(f.where(F.col("seq").isNotNull()))
-    rows = good.select("namespace", "object_id", "op", "seq", "ts", "x", "y", "z", "metadata").distinct()
+    rows = good.select("namespace", "object_id", "op", "seq").distinct()  # redelivered records
     return counters.stats(rows, replay(f, payload=()))
 
 
@@ -718,24 +751,24 @@ def knn_join(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(got.select("namespace", "probe_id.key", "neighbor_id", "distance"))
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """A fresh folder beside the checkpoints, which every executor can see."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
-
-
 @query(
-    f"WITH {APPLIED} SELECT namespace, object_id, op, count(*) AS n, sum(coalesce(epoch_us(ts), 0) % 1000003)::BIGINT AS checksum"
+    f"WITH {APPLIED} SELECT namespace, object_id, op, count(*) AS n, sum(coalesce(epoch_us(ts), 0) % 1000003)::BIGINT AS checksum,"
+    " round(sum(x), 1) AS sum_x, round(sum(y), 1) AS sum_y, round(sum(z), 1) AS sum_z,"
+    " sum(CASE WHEN op = 'U' AND json_valid(metadata) AND metadata <> 'null' THEN 1 ELSE 0 END)::BIGINT AS with_json"
     " FROM applied WHERE NOT regexp_matches(namespace, '[|\\n\\r]|::') GROUP BY ALL"
 )
 def log_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """The applicable records written as a text log and read back."""
     key = ["namespace", "object_id"]
     good, _ = validate.quarantine(feed(spark, sf).where(F.col("seq").isNotNull()))
-    folder = _shared_folder(spark)
+    folder = shared_folder(spark)
     logio.write_log(good.select(*key, "op", "seq", "ts", "x", "y", "z", "metadata").distinct(), folder)
     back = logio.read_log(spark, folder)
-    return back.groupBy(*key, "op").agg(F.count("*").alias("n"), F.sum(F.unix_micros("ts") % 1000003).alias("checksum"))
+    json = F.coalesce((F.col("metadata") != "null").cast("bigint"), F.lit(0))
+    sums = [F.round(F.sum(k), 1).alias(f"sum_{k}") for k in "xyz"]
+    return back.groupBy(*key, "op").agg(
+        F.count("*").alias("n"), F.sum(F.unix_micros("ts") % 1000003).alias("checksum"), *sums, F.sum(json).alias("with_json")
+    )
 
 
 @query(
@@ -745,7 +778,7 @@ def log_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
     """The feed as a stream: latest U record per object, kept by a stateful aggregation."""
     schema = feed(spark, sf).schema
-    folder = _shared_folder(spark)
+    folder = shared_folder(spark)
     # a pattern, since a stream's path may otherwise not be a single file
     stream = spark.readStream.schema(schema).parquet(f"{sf}/update_log.parque[t]")
 

@@ -15,6 +15,8 @@ HEADER_PATTERN = r"^#\S+-log v2$"
 SNAPSHOT_PATTERN = r"^#\S+-snap v1 (\d+)$"
 SNAPSHOT_HEADER = "#driftline-snap v1"
 TOMBSTONE = "TOMBSTONE"
+#: File splits up to which their table is broadcast.
+MAX_BROADCAST_SPLITS = 100_000
 
 
 def record_text() -> Column:
@@ -53,14 +55,17 @@ def write_log(updates: DataFrame, path: str, *, partitions: int = 64) -> None:
     lines.mapInArrow(with_header, "value string").write.mode("overwrite").text(path)
 
 
-def parse_lines(lines: DataFrame, *, checked: bool) -> DataFrame:
-    """Update rows of a DataFrame with ``value`` and ``seq``; lines that are torn, malformed or fail the checksum drop out."""
+def parse_lines(lines: DataFrame, *, checked: Column | bool) -> DataFrame:
+    """Update rows of a DataFrame with ``value`` and ``seq``; lines that are torn, malformed or fail the checksum drop out.
+
+    ``checked``: whether the line is of the second version.
+    """
     df = lines.where(~F.startswith("value", F.lit("#")))
-    if checked:
-        crc = F.substring("value", 1, 8)
-        body = F.expr("substring(value, 10)")
-        whole = F.lpad(F.lower(F.hex(F.crc32(body.cast("binary")))), 8, "0") == F.lower(crc)
-        df = df.where((F.substring("value", 9, 1) == "|") & whole).withColumn("value", body)
+    checked = F.lit(checked) if isinstance(checked, bool) else checked
+    crc = F.substring("value", 1, 8)
+    body = F.expr("substring(value, 10)")
+    whole = F.lpad(F.lower(F.hex(F.crc32(body.cast("binary")))), 8, "0") == F.lower(crc)
+    df = df.where(~checked | ((F.substring("value", 9, 1) == "|") & whole)).withColumn("value", F.when(checked, body).otherwise(F.col("value")))
     p = F.split("value", r"\|", 8)
     part = lambda i: F.get(p, F.lit(i))
     gone = part(0) == TOMBSTONE
@@ -87,17 +92,17 @@ def parse_lines(lines: DataFrame, *, checked: bool) -> DataFrame:
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Update rows of a log (file or folder, version 1 or 2); ``seq`` grows along each file, files in name order.
 
-    The version is that of the first file.  Line numbers come from the position in the input split, so reading is
+    The version is each file's own, by its header.  Line numbers come from the position in the input split, so reading is
     parallel and no global sort is needed.
     """
-    first = spark.read.text(path).limit(1).collect()
-    checked = bool(first) and first[0].value.startswith("#")
     files = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
     rank = sorted({(r.f, r.b) for r in files.select("f", "b").distinct().collect()})  # one entry per file split
-    table = spark.createDataFrame([(f, b, i) for i, (f, b) in enumerate(rank)], "f string, b bigint, part bigint")
+    second = {r.f for r in files.where(F.col("value").rlike(HEADER_PATTERN)).select("f").distinct().collect()}  # one entry per file
+    table = spark.createDataFrame([(f, b, i, f in second) for i, (f, b) in enumerate(rank)], "f string, b bigint, part bigint, checked boolean")
     numbered = files.withColumn("line", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     seq = F.shiftleft(F.col("part"), 33) + F.col("line")
-    return parse_lines(numbered.join(F.broadcast(table), ["f", "b"]).select("value", seq.alias("seq")), checked=checked)
+    table = F.broadcast(table) if len(rank) <= MAX_BROADCAST_SPLITS else table
+    return parse_lines(numbered.join(table, ["f", "b"]).select("value", seq.alias("seq"), "checked"), checked=F.col("checked"))
 
 
 def write_snapshot(current: DataFrame, path: str, covered_seq: int) -> None:

@@ -1,9 +1,8 @@
-"""Reading the tables of a data folder, and views that give the event and star-schema tables coordinates."""
+"""Reading the tables of a data folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
