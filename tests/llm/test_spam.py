@@ -98,3 +98,28 @@ def test_table(spark):
 
 def test_planted_among_notebooks_have_a_wide_margin():
     assert min(spam.spam_share(t) for t in SPAM.values()) - max(spam.spam_share(t) for t in FINE.values()) > 0.3
+
+
+def test_many_shapes_are_no_listing():
+    """The decision rests on few shapes: the same lines lumped into one shape would be flagged."""
+    r = random.Random(5)
+    lines = []
+    for _ in range(12):
+        for n in (1, 2, 4, 9):
+            for case in (str.lower, str.upper, str.title, lambda v: v.title()[:-1] + v[-1].upper()):
+                for k in range(max(1, 9 // n)):
+                    lines.append(case(" ".join(r.choice(["lamp", "case", "phone", "desk", "sale"]) for _ in range(n))))
+    text = "\n".join(lines) + "\n" + "\n".join([PROSE] * 40)
+    total, found = spam.shapes(text)
+    listed = [g.amount for k, g in found.items() if spam.is_listing(k, g)]
+    assert len(listed) > 12
+    assert spam.spam_share(text, few=4) < spam.SHARE < sum(listed) / total
+
+
+def test_words_of_a_shape_decide_together():
+    """A line that would pass by itself goes with the lines of its shape."""
+    one = spam.Group(amount=10, lines=1, words=2, known=1)
+    many = spam.Group(amount=100, lines=10, words=20, known=4)
+    shape = (2, 0, 0, 0, "none", False, "short")
+    assert spam.is_listing(shape, one)
+    assert not spam.is_listing(shape, many)
