@@ -53,7 +53,8 @@ def fill(shares: list[Share], total: float) -> list[Share]:
         for s in over:
             s.amount = s.limit
             left -= s.limit
-        free = [s for s in free if s not in over]
+        gone = {id(s) for s in over}
+        free = [s for s in free if id(s) not in gone]
     return shares
 
 

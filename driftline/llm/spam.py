@@ -162,6 +162,7 @@ def shapes(text: str) -> tuple[float, dict[tuple, Group]]:
         g.marks += marks
         return g
 
+    code = add("line", 0.0, 0, "", 0, 0, 0, True)
     whole = "\n".join(logical_lines(text))
     for line in ENCODED.sub("", INVISIBLE.sub("", whole)).split("\n"):
         n = _size(line)
@@ -180,17 +181,19 @@ def shapes(text: str) -> tuple[float, dict[tuple, Group]]:
         # the counts only spare most lines the closer look
         if body[:1] == "#" or body.count("#") + body.count(":") + body.count("=") >= LIST_PIECES - 2:
             pieces = _pieces(body)
-            marks = sum(1 for p in pieces if MARK.match(p))
-            if (len(pieces) >= LIST_PIECES or (len(pieces) == 1 and body[:1] == "#")) and 2 * marks >= len(pieces):
-                add("list", n, 0, "", len(pieces), 0, marks, False)
-                continue
+            if len(pieces) >= LIST_PIECES or (len(pieces) == 1 and body[:1] == "#"):
+                marks = len(list(filter(None, map(MARK.match, pieces))))
+                if 2 * marks >= len(pieces):
+                    add("list", n, 0, "", len(pieces), 0, marks, False)
+                    continue
         if body.count("-") >= LIST_PIECES and (marks := len(NUMBERED.findall(body))) >= LIST_PIECES:
             add("list", n, 0, "", marks, 0, marks, False)
             continue
         symbols = not links and SYMBOLS.search(body) is not None
         # a symbol here and there doesn't make a long line code
-        if symbols and SYMBOL_WORDS * sum(1 for _ in SYMBOLS.finditer(body)) >= body.count(" ") + body.count("\\t"):
-            add("line", n, 0, "", 0, 0, 0, True)
+        if symbols and ((blanks := body.count(" ") + body.count("\\t")) <= SYMBOL_WORDS or SYMBOL_WORDS * len(SYMBOLS.findall(body)) >= blanks):
+            code.amount += n
+            code.lines += 1
             continue
         pieces = _pieces(body)
         low = body.lower()

@@ -38,7 +38,6 @@ PLAIN_PATTERN = (
     .replace(r"\p{L}", r"[^\W\d_]")
     .replace(r"\p{N}", r"\d")
 )
-LONGEST_TOKEN = 128
 MAX_CACHED = 400_000
 MAX_CACHED_CHARS = 256
 
@@ -49,6 +48,7 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.longest = max(map(len, ranks), default=1)
         #: id of each token, and -1 for byte strings with which only longer tokens begin
         self.table = {b[:n]: -1 for b in ranks for n in range(1, len(b) + 1)} | ranks
         self._pair_rank: dict[int, int] = {}
@@ -123,7 +123,7 @@ class Vocabulary:
     def fill(self, last: list[int], data: bytes, start: int, stop: int) -> list[int]:
         """Sets last[start + 1 .. stop] (-2 where unknown) from the entries up to ``start``."""
         table, known, fits = self.table.get, self._fits.get, self.fits
-        for s in range(max(0, start - LONGEST_TOKEN + 1), stop):
+        for s in range(max(0, start - self.longest + 1), stop):
             before = last[s]
             for e in range(s + 1, stop + 1):
                 t = table(data[s:e])
@@ -158,7 +158,7 @@ class PrefixTable:
         self.data = self.data[:start] + new + tail
         self.last = self.last[: start + 1] + [-2] * (len(new) + len(tail))
         done, step, shift = start, 64, len(new) - (stop - start)
-        reach = LONGEST_TOKEN  # as many equal entries in a row and the rest is as before
+        reach = self.vocabulary.longest  # as many equal entries in a row and the rest is as before
         while done < len(self.data):
             to = min(len(self.data), done + step)
             self.vocabulary.fill(self.last, self.data, done, to)
