@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.geo import haversine_3d
-from driftline.operators.grid import SphereGrid
+from driftline.operators.grid import SphereGrid, split_join
 from driftline.session import cut
 
 KEY = ["namespace", "object_id"]
@@ -23,7 +23,7 @@ def radius_join(
     grid = SphereGrid(radius)
     a = grid.home(current.select(*KEY, "x", "y", "z"))
     b = grid.reach(probes.select("probe_id", "namespace", *[F.col(k).alias(f"p_{k}") for k in "xyz"]), "p_x", "p_y")
-    hit = a.join(b, ["namespace", "g_row", "g_col"]).where(F.abs(F.col("y") - F.col("p_y")) <= grid.dlat).withColumn(
+    hit = split_join(a, b, ["namespace", "g_row", "g_col"], "object_id").where(F.abs(F.col("y") - F.col("p_y")) <= grid.dlat).withColumn(
         "distance", haversine_3d("x", "y", "z", "p_x", "p_y", "p_z")
     )
     hit = hit.where(F.col("distance") <= radius).select("probe_id", *KEY, "distance")
@@ -65,7 +65,7 @@ def knn_join(
             pair = todo.join(pts, "namespace")
         else:
             grid = SphereGrid(radius)
-            pair = grid.reach(todo, "p_x", "p_y").join(grid.home(pts), ["namespace", "g_row", "g_col"])
+            pair = split_join(grid.home(pts), grid.reach(todo, "p_x", "p_y"), ["namespace", "g_row", "g_col"], "neighbor_id")
             pair = pair.where(F.abs(F.col("y") - F.col("p_y")) <= grid.dlat)
         near = pair.where(F.col("own_id").isNull() | (F.col("neighbor_id") != F.col("own_id"))).withColumn("distance", d)
         if not last:

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from driftline.constants import EARTH_RADIUS_M
 
 MAX_PLANE_LEVEL = 24
+#: Home rows of one cell that are handled together.
+CROWD = 4096
 
 
 class SphereGrid:
@@ -68,6 +70,24 @@ class SphereGrid:
         ).drop("g_n")
 
 
+def split_join(home: DataFrame, visitors: DataFrame, cell: list[str], key: str, crowd: int = CROWD) -> DataFrame:
+    """Join of rows that stay in their cell with rows that visit it, on ``cell``.
+
+    Cells with more than ``crowd`` home rows are split: their home rows are spread over sub-cells by a hash of ``key``, and
+    only the visitors of those cells are copied, so one cell never becomes one task.
+    """
+    crowded = (
+        home.groupBy(*cell)
+        .count()
+        .where(F.col("count") > crowd)
+        .select(*cell, F.ceil(F.col("count") / crowd).cast("int").alias("g_parts"))
+    )
+    parts = F.coalesce(F.col("g_parts"), F.lit(1))
+    a = home.join(crowded, cell, "left").withColumn("g_sub", F.pmod(F.xxhash64(key), parts).cast("int")).drop("g_parts")
+    b = visitors.join(crowded, cell, "left").withColumn("g_sub", F.explode(F.sequence(F.lit(0), parts - 1))).drop("g_parts")
+    return a.join(b, [*cell, "g_sub"]).drop("g_sub")
+
+
 def plane_level(width: Column, height: Column) -> Column:
     """The finest level whose cells are at least as large as the box."""
     span = F.greatest(width, height, F.lit(360.0 / 2**MAX_PLANE_LEVEL))

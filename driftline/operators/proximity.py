@@ -6,19 +6,21 @@ cells are split: their home rows are spread over sub-cells and only the visitors
 so one cell never becomes one task.
 
 Regions: boxes and the bounding boxes of polygons are hashed to nested plane cells; the join is an
-equi-join on (namespace, level, cell) and the exact test decides.  All work stays in the JVM.
+equi-join on (namespace, level, cell), crowded cells split as well, and the exact test decides.  All work stays in the JVM.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.geo import bbox_contains, haversine_3d, ring_edges, ring_position, usable
-from driftline.operators.grid import SphereGrid, plane_boxes, plane_points
+from driftline.operators.grid import CROWD, SphereGrid, plane_boxes, plane_points, split_join
 from driftline.session import cut
 
 KEY = ["namespace", "object_id"]
+#: Edges of regions, over all their cells, up to which the regions are broadcast (about 32 MB).
+MAX_BROADCAST_EDGES = 1_000_000
 
 
 def current_locations(points: DataFrame) -> DataFrame:
@@ -37,7 +39,7 @@ def current_locations(points: DataFrame) -> DataFrame:
     )
 
 
-def near_pairs(points: DataFrame, radius: float, *, crowd: int = 4096) -> DataFrame:
+def near_pairs(points: DataFrame, radius: float, *, crowd: int = CROWD) -> DataFrame:
     """Pairs of one namespace with sqrt(great-circle^2 + dz^2) <= radius: namespace, key_a < key_b, distance.
 
     ``points`` has one usable row per (namespace, object_id) with x, y, z.  The result is complete
@@ -48,26 +50,10 @@ def near_pairs(points: DataFrame, radius: float, *, crowd: int = 4096) -> DataFr
     pts = points.select(*KEY, "x", "y", "z")
     home = grid.home(pts)
     cell = ["namespace", "g_row", "g_col"]
-    crowded = (
-        home.groupBy(*cell)
-        .count()
-        .where(F.col("count") > crowd)
-        .select(*cell, F.ceil(F.col("count") / crowd).cast("int").alias("parts"))
-    )
-    parts = F.coalesce(F.col("parts"), F.lit(1))
-    a = (
-        home.join(crowded, cell, "left")
-        .withColumn("g_sub", F.pmod(F.xxhash64("object_id"), parts).cast("int"))
-        .select(*cell, "g_sub", F.col("object_id").alias("key_a"), *[F.col(k).alias(f"a_{k}") for k in "xyz"])
-    )
-    b = (
-        grid.reach(pts)
-        .join(crowded, cell, "left")
-        .withColumn("g_sub", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select(*cell, "g_sub", F.col("object_id").alias("key_b"), *[F.col(k).alias(f"b_{k}") for k in "xyz"])
-    )
+    a = home.select(*cell, F.col("object_id").alias("key_a"), *[F.col(k).alias(f"a_{k}") for k in "xyz"])
+    b = grid.reach(pts).select(*cell, F.col("object_id").alias("key_b"), *[F.col(k).alias(f"b_{k}") for k in "xyz"])
     return (
-        a.join(b, [*cell, "g_sub"])
+        split_join(a, b, cell, "key_a", crowd)
         .where(F.col("key_a") < F.col("key_b"))
         .where((F.abs(F.col("a_y") - F.col("b_y")) <= grid.dlat) & (F.abs(F.col("a_z") - F.col("b_z")) <= radius))
         .withColumn("distance", haversine_3d("a_x", "a_y", "a_z", "b_x", "b_y", "b_z"))
@@ -81,7 +67,22 @@ def _levels(boxes: DataFrame) -> list[int]:
     return [r[0] for r in boxes.select("g_level").distinct().collect()]
 
 
-def points_in_boxes(points: DataFrame, zones: DataFrame) -> DataFrame:
+def _in_cells(points: DataFrame, cells: DataFrame, size: Column, most: int, crowd: int) -> DataFrame:
+    """Points with the regions of their cells, on every level.
+
+    Regions with no more than ``most`` edges in all (``size`` per row) are broadcast, so that no point is moved; more
+    are joined by cell, with crowded cells split.
+    """
+    cells = cut(cells)
+    p = plane_points(points.select(*KEY, "x", "y"), _levels(cells))
+    cell = ["namespace", "g_level", "g_x", "g_y"]
+    edges = cells.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    if edges <= most:
+        return p.join(F.broadcast(cells), cell)
+    return split_join(p, cells, cell, "object_id", crowd)
+
+
+def points_in_boxes(points: DataFrame, zones: DataFrame, *, most: int = MAX_BROADCAST_EDGES, crowd: int = CROWD) -> DataFrame:
     """namespace, object_id, key of each box of the same namespace that contains the point, edges included.
 
     Repeated boxes count once; inverted boxes and boxes with null or non-finite edges contain nothing;
@@ -89,17 +90,15 @@ def points_in_boxes(points: DataFrame, zones: DataFrame) -> DataFrame:
     """
     edges = ["min_x", "min_y", "max_x", "max_y"]
     z = zones.where(F.col("key").isNotNull()).select("namespace", "key", *edges).distinct()
-    z = plane_boxes(z, *edges)
-    p = plane_points(points.select(*KEY, "x", "y"), _levels(z))
     return (
-        p.join(z, ["namespace", "g_level", "g_x", "g_y"])
+        _in_cells(points, plane_boxes(z, *edges), F.lit(4), most, crowd)
         .where(bbox_contains("x", "y", *edges))
         .select(*KEY, "key")
         .distinct()
     )
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
+def points_in_polygons(points: DataFrame, polygons: DataFrame, *, most: int = MAX_BROADCAST_EDGES, crowd: int = CROWD) -> DataFrame:
     """namespace, object_id, fence_id of each polygon of the namespace with the point strictly inside.
 
     Outside are: points on the exterior's boundary and points inside or on a hole.  Rings may be open or
@@ -130,10 +129,9 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
         )
     )
     edges = ["min_x", "min_y", "max_x", "max_y"]
-    cells = plane_boxes(f, *edges)
-    p = plane_points(points.select(*KEY, "x", "y"), _levels(cells))
+    size = F.size("outer") + F.aggregate("holes", F.lit(0), lambda a, h: a + F.size(h))
     return (
-        p.join(cells, ["namespace", "g_level", "g_x", "g_y"])
+        _in_cells(points, plane_boxes(f, *edges), size, most, crowd)
         .where(bbox_contains("x", "y", *edges, closed=False))
         .where(ring_position("x", "y", F.col("outer")) == 1)
         .where(~F.exists("holes", lambda h: ring_position("x", "y", h) != 0))

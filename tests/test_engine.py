@@ -207,3 +207,15 @@ def test_entry_names():
     names, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(names)
     assert {"p1_found", "p2_found", "p3_found", "p4_found", "p5_found", "p6_found"} <= set(names)
+
+
+def test_a_folder_of_both_log_versions_is_read_whole(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.log").write_text("1000000|n|old|2.0|1.0|0.0|4|null\n")
+    logio.write_log(log_frame(spark, ROWS), str(tmp_path / "v2"), partitions=1)
+    part = next((tmp_path / "v2").glob("part-*"))
+    (tmp_path / "logs" / "b.log").write_text(part.read_text())
+    one, both = (logio.read_log(spark, str(tmp_path / f)) for f in ("v2", "logs"))
+    assert one.count() > 0
+    assert both.count() == one.count() + 1
+    assert both.where("object_id = 'old'").count() == 1

@@ -6,7 +6,7 @@ import pytest
 from helpers import loc_frame, tuples
 from pyspark.sql import functions as F
 
-from driftline.operators import batch, proximity
+from driftline.operators import batch, proximity, grid
 
 ZONE = "namespace string, key string, min_x double, min_y double, max_x double, max_y double, data binary"
 FENCE = "namespace string, fence_id string, exterior array<struct<x:double,y:double>>, interiors array<array<struct<x:double,y:double>>>"
@@ -76,8 +76,24 @@ def test_random_boxes(spark):
     for i in range(60):
         x, y, w = rnd.uniform(-180, 180), rnd.uniform(-90, 90), 10 ** rnd.uniform(-3, 2.2)
         boxes.append(("n", f"z{i}", x, y, x + w, y + w / 2, None))
-    got = set(tuples(proximity.points_in_boxes(loc_frame(spark, pts), spark.createDataFrame(boxes, ZONE)), "object_id", "key"))
-    assert got == {(p[1], b[1]) for p in pts for b in boxes if b[2] <= p[2] <= b[4] and b[3] <= p[3] <= b[5]}
+    zones = spark.createDataFrame(boxes, ZONE)
+    want = {(p[1], b[1]) for p in pts for b in boxes if b[2] <= p[2] <= b[4] and b[3] <= p[3] <= b[5]}
+    for split in ({}, {"most": 0, "crowd": 7}):
+        assert set(tuples(proximity.points_in_boxes(loc_frame(spark, pts), zones, **split), "object_id", "key")) == want
+
+
+def test_a_crowded_cell_is_spread(spark):
+    """A box around the globe and a crowd in one spot: no sub-cell holds more than its share of the crowd."""
+    pts = loc_frame(spark, [("n", f"p{i}", 1.0, 1.0, 0.0) for i in range(2000)])
+    box = spark.createDataFrame([("n", "world", -180.0, -90.0, 180.0, 90.0, None)], ZONE)
+    edges = ["min_x", "min_y", "max_x", "max_y"]
+    cell = ["namespace", "g_level", "g_x", "g_y"]
+    joined = grid.split_join(grid.plane_points(pts, [0]), grid.plane_boxes(box, *edges), cell, "object_id", 100)
+    sub = F.pmod(F.xxhash64("object_id"), F.lit(20))
+    assert joined.count() == 2000
+    assert max(r["count"] for r in joined.drop("count").groupBy(sub.alias("s")).count().collect()) < 200
+    got = proximity.points_in_boxes(pts, box, most=0, crowd=100)
+    assert got.count() == 2000
 
 
 def ring(*pts):

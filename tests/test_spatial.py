@@ -5,6 +5,7 @@ import math
 import brute
 import pytest
 from helpers import loc_frame, tuples
+from pyspark.sql import functions as F
 
 from driftline.errors import InvalidInputError, InvalidTimestampError, ObjectNotFoundError
 from driftline.functions import geo, geodesic, validate
@@ -223,3 +224,24 @@ def test_uploads(spark):
     kind = "namespace string, object_id string, points array<struct<x:double,y:double,ts:double>>"
     df = spark.createDataFrame([("n", "a", [{"x": 1.0, "y": 2.0, "ts": 3.5}, {"x": None, "y": 2.0, "ts": 3.5}, {"x": 1.0, "y": 2.0, "ts": -3.5}]), ("n", "b", None)], kind)
     assert tuples(history.uploads_to_updates(df), "object_id", "x", "y", "z", "metadata") == [("a", 1.0, 2.0, 0.0, "{}")]
+
+
+def test_no_limit_is_cut_and_none_is_needed(spark):
+    many = spark.range(100_050).selectExpr("'n' namespace", "cast(id as string) object_id", "1.0D x", "1.0D y", "0.0D z", "'{}' metadata", "timestamp_micros(id) ts")
+    assert spatial.radius_3d(many, "n", (1.0, 1.0, 0.0), 10.0, 1_000_000).count() == 100_050
+    assert spatial.bbox(many, "n", 0.0, 0.0, 2.0, 2.0, limit=None).count() == 100_050
+
+
+def test_area_of_a_ring_of_many_vertices(spark):
+    import math
+    import time
+
+    n = 400
+    ring = [{"x": math.cos(2 * math.pi * i / n), "y": math.sin(2 * math.pi * i / n)} for i in range(n)]
+    schema = "exterior array<struct<x:double,y:double>>, interiors array<array<struct<x:double,y:double>>>"
+    df = spark.createDataFrame([(ring, None)], schema).select(geo.polygon_area(F.col("exterior"), F.col("interiors")).alias("a"))
+    df.collect()
+    start = time.perf_counter()
+    area = df.first().a
+    assert time.perf_counter() - start < 1.5
+    assert area == pytest.approx(math.pi * math.radians(6378137.0) ** 2, rel=1e-3)
