@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.config import Config
@@ -15,7 +16,7 @@ from driftline.functions import namespaces, validate
 from driftline.operators import geometry, history, spatial
 from driftline.operators import stats as counters
 from driftline.operators.change_feed import replay
-from driftline.session import ship_package
+from driftline.session import cut, shared_folder, ship_package
 
 SCHEMA = (
     "namespace string, object_id string, op string, seq bigint, ts timestamp, x double, y double, z double,"
@@ -23,6 +24,9 @@ SCHEMA = (
 )
 ROW = ["namespace", "object_id", "op", "seq", "ts", "x", "y", "z", "metadata"]
 
+#: Appended frames that are kept side by side in memory before they are made one.
+MAX_FRAMES = 16
+
 
 class Engine:
     """``Engine(spark)`` keeps updates in memory, ``Engine(spark, path)`` in Parquet partitioned by namespace.
@@ -38,6 +42,8 @@ class Engine:
         self._closed = False
         self._upserts = 0
         self._seq = 0
+        self._state: DataFrame | None = None  # current state of the records with seq < _applied
+        self._applied = 0
         if path is not None:
             try:
                 self._seq = spark.read.parquet(path).agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
@@ -96,12 +102,19 @@ class Engine:
         self._open()
         good, bad = validate.quarantine(updates)
         good = good.select(*ROW)
+        ends = [F.min("seq").alias("lo"), F.max("seq").alias("hi")]
         if self.path is None:
+            good = cut(good)
             self._frames.append(good)
-        else:
-            good.write.mode("append").partitionBy("namespace").parquet(self.path)
-        top = good.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
-        self._seq = max(self._seq, top)
+            lo, hi = good.agg(*ends).first()
+        else:  # the range of seq is watched while the rows are written
+            seen = Observation()
+            good.observe(seen, *ends).write.mode("append").partitionBy("namespace").parquet(self.path)
+            lo, hi = seen.get["lo"], seen.get["hi"]
+        if lo is not None:
+            self._seq = max(self._seq, hi + 1)
+            if lo < self._applied:  # older than the kept state
+                self._state, self._applied = None, 0
         return bad
 
     def flush(self) -> None:
@@ -123,6 +136,8 @@ class Engine:
 
     def updates(self) -> DataFrame:
         self.flush()
+        if len(self._frames) > MAX_FRAMES:
+            self._frames = [cut(reduce(DataFrame.unionByName, self._frames))]
         frames = list(self._frames)
         if self.path is not None:
             try:
@@ -136,8 +151,20 @@ class Engine:
         return out
 
     def current(self) -> DataFrame:
+        """The kept current state, brought up to date by the records since the last read.
+
+        It is a Parquet table by namespace in the shared folder, so namespace and envelope of a query reach its scan.
+        """
         self._open()
-        return replay(self.updates(), tie=self.config.tie, batches=self.config.replay_batches)
+        updates = self.updates()
+        if self._state is None or self._applied < self._seq:
+            new = updates.where(F.col("seq") >= self._applied)
+            state = replay(new, self._state, tie=self.config.tie, batches=self.config.replay_batches)
+            folder = shared_folder(self.spark)
+            state.write.partitionBy("namespace").parquet(folder)
+            self._state = self.spark.read.schema(state.schema).parquet(folder).select(*state.columns)
+            self._applied = self._seq
+        return self._state
 
     def get(self, namespace: str, object_id: str) -> DataFrame:
         return self.current().where((F.col("namespace") == namespace) & (F.col("object_id") == object_id))
@@ -209,4 +236,5 @@ class Engine:
     def stats(self) -> DataFrame:
         """Works after ``close`` too."""
         updates = self.updates()
-        return counters.stats(updates, replay(updates, tie=self.config.tie), self.config.buffer_capacity)
+        state = self._state if self._state is not None and self._applied == self._seq else replay(updates, tie=self.config.tie)
+        return counters.stats(updates, state, self.config.buffer_capacity)

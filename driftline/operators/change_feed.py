@@ -65,8 +65,8 @@ def replay(
     Defined cases: records with a null ``seq`` or ``namespace`` or a malformed ``object_id``, and U records
     with null ``ts`` or an unusable position, are never applied; redelivered records (same ``seq``) count
     once; ``op`` other than U and T is ignored; an empty feed gives the base rows, or none; further columns
-    of the feed are ignored.  ``base`` holds earlier state rows (same columns); their ``seq`` may be null
-    and counts as older than the feed.  An object of ``base`` without a record in the feed is appended as it is.
+    of the feed are ignored.  ``base`` holds earlier state rows (same columns); their ``seq``, if they have one,
+    is older than the feed.  An object of ``base`` without a record in the feed is appended as it is.
     ``batches`` follows from the number of rows unless given; it doesn't change the result.  ``on_batch`` is shown the
     rows of each batch that are left to aggregate.
     """
@@ -141,7 +141,7 @@ def replay(
         n_touched = touched.count()
         old = F.struct(
             "ts",
-            F.lit(-1 if tie == "last" else 1).cast("bigint").alias("ord"),
+            (F.coalesce("seq", F.lit(-1)) if tie == "last" else F.coalesce(-F.col("seq"), F.lit(1))).cast("bigint").alias("ord"),
             F.col("seq").cast("bigint").alias("seq"),
             *payload,
         )

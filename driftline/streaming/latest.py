@@ -87,13 +87,23 @@ def latest_state_with_deletes(updates: DataFrame) -> DataFrame:
 def apply_batches(updates: DataFrame, folder: str, checkpoint: str) -> Any:
     """Starts a query that keeps all records under ``folder/updates`` and a fresh ``folder/state_<batch>`` per batch.
 
-    Appends are made idempotent by writing each batch to its own partition, so a restarted batch replaces itself.
+    A batch whose records are all newer (by seq) than those before is applied to the last state alone; only a batch with
+    older records makes the state anew from all records.  Appends are idempotent: each batch is written to its own
+    partition, so a restarted batch replaces itself.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{folder}/updates/batch={batch_id}")
+        new = spark.read.schema(batch.schema).parquet(f"{folder}/updates/batch={batch_id}")
         whole = spark.read.parquet(f"{folder}/updates")
-        replay(whole).write.mode("overwrite").parquet(f"{folder}/state_{batch_id}")
+        lo, before = whole.agg(
+            F.min(F.when(F.col("batch") == batch_id, F.col("seq"))), F.max(F.when(F.col("batch") < batch_id, F.col("seq")))
+        ).first()
+        if before is not None and (lo is None or lo > before):
+            state = replay(new, spark.read.parquet(f"{folder}/state_{batch_id - 1}"))
+        else:
+            state = replay(whole.where(F.col("batch") <= batch_id))
+        state.write.mode("overwrite").parquet(f"{folder}/state_{batch_id}")
 
     return updates.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -219,3 +219,19 @@ def test_a_folder_of_both_log_versions_is_read_whole(spark, tmp_path):
     assert one.count() > 0
     assert both.count() == one.count() + 1
     assert both.where("object_id = 'old'").count() == 1
+
+
+def test_current_state_is_kept_and_queries_reach_its_scan(spark, tmp_path):
+    db = Engine(spark, str(tmp_path / "t"))
+    for i in range(5):
+        db.upsert("n", f"o{i}", (1.0 + i, 2.0, 0.0), timestamp=i)
+    first = db.current()
+    assert db.current() is first
+    db.delete("n", "o1")
+    db.upsert("n", "o2", (9.0, 2.0, 0.0), timestamp=100)
+    assert sorted(tuples(db.current(), "object_id", "x")) == [("o0", 1.0), ("o2", 9.0), ("o3", 4.0), ("o4", 5.0)]
+    plan = db.query_bbox("n", 0.0, 0.0, 3.0, 3.0)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(x,0.0)" in plan and "LessThanOrEqual(y,3.0)" in plan
+    late = log_frame(spark, [("n", "o0", "T", 0, None, None, None, None), ("n", "late", "U", 1, 5, 3.0, 3.0, 0.0)])
+    db.append(late)
+    assert "late" in {r[0] for r in tuples(db.current(), "object_id")}
