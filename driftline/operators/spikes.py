@@ -208,8 +208,8 @@ def _block_tests(
             a, b = i - 1, i + size
             effects, explained = _outlier_effects(e, w, size)
             least = np.linalg.norm(effects, axis=2).min(axis=1)
-            # a level shift shows in the innovations of the readings behind it too
-            outlier = explained > np.max([of_shift[np.maximum(i - lag, 0)] for lag in range(-size, REACH + 1)], axis=0)
+            # a level shift shows in the innovations of the readings behind it too, and those behind the block count for the block
+            outlier = explained > np.max([of_shift[np.clip(i + lag, 0, m - 1)] for lag in range(-REACH, size + REACH)], axis=0)
             # the level shift that is left between the readings before and behind, without the block
             shift = np.linalg.norm(pos[b] - pos[a], axis=1)
             sc = np.maximum(s[a], s[b])

@@ -1,4 +1,4 @@
-"""Properties of the pure parts: state carried over any cut, safe cuts, hulls of hulls, spikes."""
+"""Properties of the pure parts: state carried over any cut and told by summaries, hulls of hulls, spikes."""
 
 import brute
 import numpy as np
@@ -28,88 +28,54 @@ def pieces(rows, cuts):
     return [rows[a:b] for a, b in zip(at, at[1:]) if a < b]
 
 
-def run_cols(rows):
-    return {"x": [r[0] for r in rows], "y": [r[1] for r in rows], "ts": [float(r[2]) for r in rows]}
+def settled(op, rows, state, first):
+    """Summary of a shard, checked: what it tells of the state left behind is what running the shard gives."""
+    left = op.run(rows, state, False, None)
+    summary = op.summary(rows, first)
+    told = op.settle(state, summary)
+    assert told is None or told == left
+    cases = op.cases(summary)
+    assert told is not None or not cases or left in cases or left == state or state[0] == "free" or isinstance(op, RunScan)
+    return left
 
 
-def scan_runs(parts, op):
-    out, state = [], op.start(("k",))
+@given(TRACK, CUTS)
+@settings(max_examples=150, deadline=None)
+def test_runs_do_not_depend_on_the_shards(steps, cuts):
+    rows, op, out, state = path(steps), RunScan(10.0, 1800.0), [], None
+    parts = pieces(rows, cuts)
     for i, part in enumerate(parts):
-        cols = run_cols(part)
-        op.prepare(cols)
-        state = op.run(state, cols, i, lambda *v: out.append(v))
-    op.end(state, lambda *v: out.append(v))
+        x, y, t = (np.array([float(r[k]) for r in part]) for k in range(3))
+        ready = op.load(("k",), i, {"x": x, "y": y, "ts": t})
+        left = settled(op, ready, state, i == 0)
+        op.run(ready, state, i == len(parts) - 1, lambda *v: out.append(v))
+        state = left
     runs, by = [], {}
     for _, shard, pos, ts, prev in out:
         by.setdefault(shard, []).append((pos, ts, prev))
-    for rows in by.values():
-        rows.sort()
-        runs += [(("k",), a[1], b[2], b[0] - a[0]) for a, b in zip(rows, rows[1:]) if a[1] is not None]
-    return sorted(runs)
-
-
-@given(TRACK, CUTS)
-@settings(max_examples=150, deadline=None)
-def test_runs_do_not_depend_on_the_shards(steps, cuts):
-    rows = path(steps)
-    want = sorted(brute.runs([(("k",), x, y, float(t)) for x, y, t in rows]))
-    assert scan_runs(pieces(rows, cuts), RunScan(10.0, 1800.0)) == want
-
-
-@given(TRACK)
-@settings(max_examples=150, deadline=None)
-def test_safe_cut_of_runs(steps):
-    rows, op = path(steps), RunScan(10.0, 1800.0)
-    at = op.safe_cut(run_cols(rows))
-    starts = {r[1] for r in brute.runs([(("k",), x, y, float(t)) for x, y, t in rows])}
-    assert at == 0 or float(rows[at][2]) in starts
-    cols = run_cols(rows)
-    op.prepare(cols)
-    whole = op.run(op.start(("k",)), cols, 0, None)
-    assert op.run(op.start(("k",)), {k: v[at:] for k, v in cols.items()}, 0, None) == whole
-
-
-def stop_cols(rows):
-    return {"x": [r[0] for r in rows], "y": [r[1] for r in rows], "us": [r[2] * 1_000_000 for r in rows], "seq": [r[2] for r in rows]}
+    for ends in by.values():
+        ends.sort()
+        runs += [(("k",), a[1], b[2], b[0] - a[0]) for a, b in zip(ends, ends[1:]) if a[1] is not None]
+    assert sorted(runs) == sorted(brute.runs([(("k",), x, y, float(t)) for x, y, t in rows]))
 
 
 @given(TRACK, CUTS)
 @settings(max_examples=150, deadline=None)
 def test_stops_do_not_depend_on_the_shards(steps, cuts):
-    rows, op, out = path(steps), StopScan(100.0, 300.0, 2, 100.0), []
-    state = op.start(("k",))
-    for i, part in enumerate(pieces(rows, cuts)):
-        cols = stop_cols(part)
-        op.prepare(cols)
-        state = op.run(state, cols, i, lambda *v: out.append(v))
-    op.end(state, lambda *v: out.append(v))
-    got = [(v[2], v[3]) for v in out if v[1] == "stop"]
-    assert got == brute.stops([(t * 1_000_000, t, x, y) for x, y, t in rows])
-
-
-@given(TRACK)
-@settings(max_examples=150, deadline=None)
-def test_safe_cut_of_stops(steps):
-    rows, op = path(steps), StopScan(100.0, 300.0, 2, 100.0)
-    cols = stop_cols(rows)
-    op.prepare(cols)
-    at = op.safe_cut(cols)
-    whole = op.run(op.start(("k",)), cols, 0, None)
-    assert op.run(op.start(("k",)), {k: v[at:] for k, v in cols.items()}, 0, None) == whole
-
-
-@given(TRACK, TRACK)
-@settings(max_examples=150, deadline=None)
-def test_skipping_equals_running(before, steps):
-    rows = path(before + steps)
-    n = len(before)
-    for op, cols_of in ((RunScan(10.0, 1800.0), run_cols), (StopScan(100.0, 300.0, 2, 100.0), stop_cols)):
-        first, second = cols_of(rows[:n]), cols_of(rows[n:])
-        op.prepare(first)
-        op.prepare(second)
-        state = op.run(op.start(("k",)), first, 0, None)
-        skipped = op.skip(state, op.summary(second, 1)) if op.safe_cut(second) == 0 else None
-        assert skipped is None or skipped == op.run(state, second, 1, None)
+    rows, op, ends, state = path(steps), StopScan(100.0, 300.0, 2), {}, None
+    at = sorted({0, len(rows), *[c for c in cuts if c < len(rows)]})
+    for i, (a, b) in enumerate(zip(at, at[1:])):
+        back = max(0, a - 3)
+        while a and back and rows[back - 1][2] >= rows[max(0, a - 3)][2] - 300:
+            back -= 1
+        part = rows[back:b]
+        x, y, t = (np.array([r[k] for r in part]) for k in range(3))
+        cols = {"x": x, "y": y, "us": t * 1_000_000, "seq": t, "path_m": np.zeros(len(t)), "halo": np.arange(len(t)) < a - back}
+        ready = op.load(("n", "o"), i, cols)
+        left = settled(op, ready, state, i == 0)
+        op.run(ready, state, b == len(rows), lambda *v: ends.update({v[3]: max(ends.get(v[3], 0), v[6])}))
+        state = left
+    assert sorted(ends.items()) == brute.stops([(t * 1_000_000, t, x, y) for x, y, t in rows])
 
 
 POINTS = st.lists(st.tuples(st.integers(-5, 5), st.integers(-5, 5)), min_size=1, max_size=40)
