@@ -32,7 +32,7 @@ def record_text() -> Column:
     return F.when(F.col("op") == "T", gone).otherwise(update)
 
 
-def write_log(updates: DataFrame, path: str, *, partitions: int = 64) -> None:
+def write_log(updates: DataFrame, path: str, *, partitions: int = 64, header: str = LOG_HEADER) -> None:
     """Writes the rows in seq order as range-partitioned text files; file names sort in seq order.
 
     The first line of every file is the header, so each file is a complete log.
@@ -48,7 +48,7 @@ def write_log(updates: DataFrame, path: str, *, partitions: int = 64) -> None:
         for b in batches:
             v = b.column(1)
             if first and b.num_rows:
-                v = pa.concat_arrays([pa.array([LOG_HEADER], pa.string()), v.cast(pa.string())])
+                v = pa.concat_arrays([pa.array([header], pa.string()), v.cast(pa.string())])
                 first = False
             yield pa.RecordBatch.from_arrays([v], names=["value"])
 
@@ -105,6 +105,26 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_lines(numbered.join(table, ["f", "b"]).select("value", seq.alias("seq"), "checked"), checked=F.col("checked"))
 
 
+def write_text_snapshot(current: DataFrame, path: str, covered: int, *, partitions: int = 64) -> None:
+    """Current state as text files of checked records, each headed by what the snapshot covers of the log."""
+    rows = current.withColumns({"op": F.lit("U"), "seq": F.coalesce(F.col("seq"), F.lit(0))})
+    write_log(rows, path, partitions=partitions, header=f"{SNAPSHOT_HEADER} {covered}")
+
+
+def read_text_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, int] | None:
+    """(state without seq, covered) of a text snapshot; None if a header is missing or any record is bad, so that all is replayed."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f")).where("value <> ''")
+    of_header = F.col("value").rlike(SNAPSHOT_PATTERN)
+    covered = F.regexp_extract("value", SNAPSHOT_PATTERN, 1).cast("bigint")
+    state = parse_lines(lines.where(~of_header).select("value", F.lit(None).cast("bigint").alias("seq")), checked=True)
+    files, headers, low, high, records = lines.agg(
+        F.count_distinct("f"), F.count_if(of_header), F.min(F.when(of_header, covered)), F.max(F.when(of_header, covered)), F.count_if(~of_header)
+    ).first()
+    if not files or headers != files or low != high or state.count() != records:
+        return None
+    return state.drop("op"), low
+
+
 def write_snapshot(current: DataFrame, path: str, covered_seq: int) -> None:
     """Current state as Parquet, marked with the ``seq`` it covers; a new version never overwrites an old one."""
     current.withColumn("covered_seq", F.lit(covered_seq).cast("bigint")).write.mode("errorifexists").parquet(path)

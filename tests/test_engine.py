@@ -235,3 +235,17 @@ def test_current_state_is_kept_and_queries_reach_its_scan(spark, tmp_path):
     late = log_frame(spark, [("n", "o0", "T", 0, None, None, None, None), ("n", "late", "U", 1, 5, 3.0, 3.0, 0.0)])
     db.append(late)
     assert "late" in {r[0] for r in tuples(db.current(), "object_id")}
+
+
+def test_text_snapshot(spark, tmp_path):
+    state = log_frame(spark, [r for r in ROWS if r[2] == "U"])
+    path = tmp_path / "snap"
+    logio.write_text_snapshot(state, str(path), 77, partitions=2)
+    got, covered = logio.read_text_snapshot(spark, str(path))
+    assert covered == 77
+    assert sorted(tuples(got, "namespace", "object_id", "y")) == sorted(tuples(state, "namespace", "object_id", "y"))
+    part = max(path.glob("part-*"), key=lambda p: p.stat().st_size)
+    (tmp_path / "bad").write_text(part.read_text()[:-9])
+    assert logio.read_text_snapshot(spark, str(tmp_path / "bad")) is None
+    (tmp_path / "headless").write_text("\n".join(part.read_text().splitlines()[1:]))
+    assert logio.read_text_snapshot(spark, str(tmp_path / "headless")) is None
