@@ -531,7 +531,31 @@ RHUMB = (
 query(pair_sql(hav("ox", "oy", "tx", "ty")), "distance_between_haversine")(_between("haversine"))
 query(pair_sql(RHUMB), "distance_between_rhumb")(_between("rhumb"))
 query(pair_sql("sqrt(pow(tx - ox, 2) + pow(ty - oy, 2))", 9), "distance_between_euclidean")(_between("euclidean", 9))
-query(None, "distance_geodesic")(_between("geodesic"))
+FLAT, MAJOR = "(1 / 298.257223563)", "6378137.0"
+#: One step of the inverse problem on the auxiliary sphere, and the length of the geodesic from its values.
+GEODESIC_STEP = f"""sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) AS ss,
+    sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs, atan2(ss, cs) AS s,
+    CASE WHEN ss = 0 THEN 0.0 ELSE cos(u1) * cos(u2) * sin(lam) / ss END AS sa, 1 - sa * sa AS c2a,
+    CASE WHEN c2a < 1e-15 THEN 0.0 ELSE cs - 2 * sin(u1) * sin(u2) / c2a END AS c2m, {FLAT} / 16 * c2a * (4 + {FLAT} * (4 - 3 * c2a)) AS c"""
+GEODESIC = f"""WITH RECURSIVE {LOC}, start AS (SELECT namespace, object_id, radians(x - ({X}) - 360 * floor((x - ({X}) + 180) / 360)) AS l,
+    atan((1 - {FLAT}) * tan(radians({Y}))) AS u1, atan((1 - {FLAT}) * tan(radians(y))) AS u2 FROM loc),
+  steps AS (SELECT *, l AS lam, 0 AS n FROM start UNION ALL
+    SELECT namespace, object_id, l, u1, u2, l + (1 - c) * {FLAT} * sa * (s + c * ss * (c2m + c * cs * (-1 + 2 * c2m * c2m))) AS lam, n + 1 AS n
+    FROM (SELECT *, {GEODESIC_STEP} FROM steps) WHERE n < 60),
+  found AS (SELECT *, {GEODESIC_STEP}, c2a * (1 / pow(1 - {FLAT}, 2) - 1) AS k, 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k))) AS ba,
+    k / 1024 * (256 + k * (-128 + k * (74 - 47 * k))) AS bb FROM steps WHERE n = 60)
+  SELECT namespace, object_id, round({MAJOR} * (1 - {FLAT}) * ba * (s - bb * ss * (c2m + bb / 4 * (cs * (-1 + 2 * c2m * c2m)
+    - bb / 6 * c2m * (-3 + 4 * ss * ss) * (-3 + 4 * c2m * c2m)))), 2) AS distance FROM found"""
+
+
+@query(GEODESIC)
+def distance_geodesic(spark: SparkSession, sf: str) -> DataFrame:
+    """Geodesics from one place to all locations (antipodes are tested by themselves)."""
+    d = geodesic.geodesic_distance(X, Y, "x", "y")
+    return locations(spark, sf).select("namespace", "object_id", F.round(d, 2).alias("distance"))
+
+
+query(None, "distance_between_geodesic")(_between("geodesic"))
 
 
 @query(f"WITH {LOC}, {ONE} SELECT round({hav('ox', 'oy', X, Y)}, 3) AS distance FROM one")
