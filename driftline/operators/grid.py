@@ -16,10 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.constants import EARTH_RADIUS_M
+from driftline.session import cut
 
 MAX_PLANE_LEVEL = 24
 #: Home rows of one cell that are handled together.
 CROWD = 4096
+#: Crowded cells up to which their list is broadcast.
+MAX_BROADCAST_CELLS = 50_000
 
 
 class SphereGrid:
@@ -76,12 +79,16 @@ def split_join(home: DataFrame, visitors: DataFrame, cell: list[str], key: str,
     Cells with more than ``crowd`` home rows are split: their home rows are spread over sub-cells by a hash of ``key``, and
     only the visitors of those cells are copied, so one cell never becomes one task.
     """
-    crowded = (
+    crowded = cut(
         home.groupBy(*cell)
         .count()
         .where(F.col("count") > crowd)
         .select(*cell, F.ceil(F.col("count") / crowd).cast("int").alias("g_parts"))
     )
+    n = crowded.count()
+    if not n:
+        return home.join(visitors, cell)
+    crowded = F.broadcast(crowded) if n <= MAX_BROADCAST_CELLS else crowded
     parts = F.coalesce(F.col("g_parts"), F.lit(1))
     a = home.join(crowded, cell, "left").withColumn("g_sub", F.pmod(F.xxhash64(key), parts).cast("int")).drop("g_parts")
     b = visitors.join(crowded, cell, "left").withColumn("g_sub", F.explode(F.sequence(F.lit(0), parts - 1))).drop("g_parts")
