@@ -29,23 +29,36 @@ ENCODED = re.compile(r"[A-Za-z0-9+/=]{60,}")
 LINK = re.compile(
     r"(?:https?://|ftp://|www\.)[^\s<>\"')\]]+|(?<![\w@/.])(?:[a-z0-9-]+\.)+[a-z]{2,10}/[^\s<>\"')\]]*", re.I
 )
+#: The end of a host's name before a path; every match of LINK holds it, "://" or "www.".
+HOST_END = re.compile(r"\.[a-z]{2,10}/", re.I)
 MARKUP = re.compile(r"<[^<>]+>")
+#: First characters of what LEAD takes off, besides numbers.
+LEADS = frozenset("#/%-*+><")
 LEAD = re.compile(r"^\s*(?:(?:#+|//|%+|[-*+>]|\d+[.)])\s+|<!--\s*)+")
 MARKS = "\u0300-\u036f\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u0670\u0900-\u0903\u093a-\u094f\u0951-\u0957\u0e31-\u0e3a\u0e47-\u0e4e"
-WORD = re.compile(rf"(?:[^\W\d_]|[{MARKS}'’])+")
+WORD = re.compile(rf"[^\W\d_]+(?:[{MARKS}'’]+[^\W\d_]*)*|(?:[{MARKS}'’]+[^\W\d_]*)+")
+ASCII_WORD = re.compile("[a-z']+")
 UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 #: Symbols as in code, tables of numbers and traces.
 SYMBOLS = re.compile(
     r"\s=\s|==|\w[({\[]|<-|::|=[\d'\"]|\[[^\]]*['\":]|\d\.\d{2,}|\S\s{2,}\S*\d|\|\s*-?\d|^@|^\s*\w+\s*\[|\"[^\"]*\", |:$|%%|```|\\[a-z]+"
 )
+#: Every match of SYMBOLS holds one of these characters, a decimal point or blanks in a row; CALL is its commonest match.
+SYMBOL_SIGNS = re.compile(r"[=({\[<:|@\"%`\\]")
+DECIMAL = re.compile(r"\.\d")
+CALL = re.compile(r"[({\[](?<=\w.)")
 MARK = re.compile(r"^(?:#[^\s#]|[^\W\d_]+[:=][^\W_]+)")
 NUMBERED = re.compile(r"\b[^\W\d_]+-\d{2,}\b")
+#: The look ahead only spares most characters the closer look.
 SEPARATOR = re.compile(
-    r"\s*(?:[|•★;,/»·–—✓►◆■、，；→~]|\s[-*]\s|\t|\s{3,})\s*|\s+(?=#[^\s#]|[^\W\d_]+[:=][^\W_])"
+    r"(?=[\s|•★;,/»·–—✓►◆■、，；→~])(?:\s*(?:[|•★;,/»·–—✓►◆■、，；→~]|\s[-*]\s|\t|\s{3,})\s*|\s+(?=#[^\s#]|[^\W\d_]+[:=][^\W_]))"
 )
-SENTENCE_END = re.compile(r"[.!?…。！？।؟][\"')\]]*\s*$")
+#: Every match of SEPARATOR holds one of these characters or blanks in a row.
+SEPARATOR_SIGNS = re.compile(r"[|•★;,/»·–—✓►◆■、，；→~\t*#:=-]")
+SENTENCE_ENDS = tuple(".!?…。！？।؟")
 SENTENCES = re.compile(r"[.!?…。！？।؟]+(?:\s+|$)")
 NEWLINE = re.compile(r"\r\n|\r|\n")
+DIGITS = re.compile(r"\d+")
 LONG_LINE_WORDS = 20
 #: Share of the text from which a page is flagged: in the middle of the empty stretch (0.19 to 0.49) of the first 5,000 documents of
 #: the test data; of the other 5,000 and of other inputs few lie in it (README).
@@ -59,7 +72,7 @@ LIST_PIECES = 8
 def logical_lines(text: str) -> list[str]:
     """Lines of all cells and outputs; images are left out; a notebook that is no valid JSON is cut at escaped ends."""
     if not text.lstrip().startswith("{"):
-        return NEWLINE.split(text)
+        return NEWLINE.split(text) if "\r" in text else text.split("\n")
     try:
         book = json.loads(text)
     except (ValueError, RecursionError):
@@ -70,7 +83,7 @@ def logical_lines(text: str) -> list[str]:
         if isinstance(v, list):
             v = "".join(x for x in v if isinstance(x, str))
         if isinstance(v, str):
-            out.extend(NEWLINE.split(v))
+            out.extend(NEWLINE.split(v) if "\r" in v else v.split("\n"))
 
     cells = book.get("cells") if isinstance(book, dict) else None
     if not isinstance(cells, list):
@@ -93,6 +106,10 @@ def logical_lines(text: str) -> list[str]:
 
 def words_of(lowered: str) -> list[str]:
     """Words; of scripts without blanks, pairs of characters."""
+    if lowered.isascii():
+        return ASCII_WORD.findall(lowered)
+    if not UNSPACED.search(lowered):
+        return WORD.findall(lowered)
     out: list[str] = []
     for w in WORD.findall(lowered):
         if UNSPACED.search(w):
@@ -103,7 +120,7 @@ def words_of(lowered: str) -> list[str]:
 
 
 def _size(s: str) -> int:
-    return len("".join(s.split()))
+    return sum(map(len, s.split()))
 
 
 def _step(n: int) -> int:
@@ -114,7 +131,30 @@ def _capitals(s: str) -> str:
     return "none" if s == s.lower() else "all" if s == s.upper() else "title" if s.istitle() else "some"
 
 
+def _blanks_in_a_row(body: str) -> bool:
+    """Whether any blanks are other than single spaces."""
+    return " ".join(body.split()) != body
+
+
+def _links(body: str) -> int:
+    if "://" in body or "www." in body or ("/" in body and ("www." in body.lower() or HOST_END.search(body))):
+        return len(LINK.findall(body))
+    return 0
+
+
+def _symbols(body: str) -> int:
+    """Matches of SYMBOLS; in a line of few words, only whether there are any."""
+    few = body.count(" ") + body.count("\\t") <= SYMBOL_WORDS
+    if few and CALL.search(body):
+        return 1
+    if not (SYMBOL_SIGNS.search(body) or ("." in body and DECIMAL.search(body)) or _blanks_in_a_row(body)):
+        return 0
+    return int(SYMBOLS.search(body) is not None) if few else len(SYMBOLS.findall(body))
+
+
 def _pieces(body: str) -> list[str]:
+    if not SEPARATOR_SIGNS.search(body) and not _blanks_in_a_row(body):
+        return [p] if (p := body.strip()) else []
     return [p for p in (s.strip() for s in SEPARATOR.split(body)) if p]
 
 
@@ -135,12 +175,14 @@ class Group:
 
 def _repeats_itself(words: list[str]) -> bool:
     """A long line of few words whose neighbours recur, as sentences' words don't."""
+    distinct = len(set(words)) / len(words)
+    if distinct >= 0.3:
+        return False
     pairs = Counter(pairwise(words))
     recurring = sum(v for v in pairs.values() if v >= 3) / max(1, len(words) - 1)
     counts = Counter(words)
     top = sum(v for _, v in counts.most_common(10)) / len(words)
-    distinct = len(counts) / len(words)
-    return (recurring > 0.5 and distinct < 0.3 and top > 0.45) or (distinct < 0.15 and top > 0.6)
+    return (recurring > 0.5 and top > 0.45) or (distinct < 0.15 and top > 0.6)
 
 
 def shapes(text: str) -> tuple[float, dict[tuple, Group]]:
@@ -164,13 +206,19 @@ def shapes(text: str) -> tuple[float, dict[tuple, Group]]:
 
     code = add("line", 0.0, 0, "", 0, 0, 0, True)
     whole = "\n".join(logical_lines(text))
-    for line in ENCODED.sub("", INVISIBLE.sub("", whole)).split("\n"):
-        n = _size(line)
+    for line in INVISIBLE.sub("", whole).split("\n"):
+        spaced = line.split()
+        n = sum(map(len, spaced))
+        if n >= 60 and max(map(len, spaced)) >= 60:
+            line = ENCODED.sub("", line)
+            n = _size(line)
         if not n:
             continue
         total += n
-        body = LEAD.sub("", line).strip()
-        links = len(LINK.findall(body)) if "/" in body or "www." in body else 0
+        body = line.strip()
+        if (body[0] in LEADS or body[0].isdecimal()) and (lead := LEAD.match(line)):
+            body = line[lead.end() :].strip()
+        links = _links(body)
         if links:
             words = words_of(MARKUP.sub(" ", LINK.sub(" ", body)).lower())
             if len(words) <= 10 * links:
@@ -189,16 +237,15 @@ def shapes(text: str) -> tuple[float, dict[tuple, Group]]:
         if body.count("-") >= LIST_PIECES and (marks := len(NUMBERED.findall(body))) >= LIST_PIECES:
             add("list", n, 0, "", marks, 0, marks, False)
             continue
-        symbols = not links and SYMBOLS.search(body) is not None
+        symbols = 0 if links else _symbols(body)
         # a symbol here and there doesn't make a long line code
-        if symbols and ((blanks := body.count(" ") + body.count("\\t")) <= SYMBOL_WORDS or SYMBOL_WORDS * len(SYMBOLS.findall(body)) >= blanks):
+        if symbols and SYMBOL_WORDS * symbols >= body.count(" ") + body.count("\\t"):
             code.amount += n
             code.lines += 1
             continue
-        pieces = _pieces(body)
-        low = body.lower()
-        words = words_of(low)
+        words = words_of(body.lower())
         if len(words) >= LONG_LINE_WORDS:
+            pieces = _pieces(body)
             parts: list[str] = []
             if len(pieces) >= LIST_PIECES and len(words) / len(pieces) <= 7:
                 parts = pieces
@@ -207,32 +254,30 @@ def shapes(text: str) -> tuple[float, dict[tuple, Group]]:
                 if len(sentences) >= 6 and len(words) / len(sentences) <= 6.5:
                     parts = sentences
             if parts:
-                scale = n / max(1, sum(map(_size, parts)))
-                units += [(p, _size(p) * scale, words_of(p.lower()), False) for p in parts]
+                sizes = list(map(_size, parts))
+                scale = n / max(1, sum(sizes))
+                units += [(p, size * scale, words_of(p.lower()), False) for p, size in zip(parts, sizes, strict=True)]
             else:
                 g = add("long", n, len(words), body, len(pieces), links, 0, False)
                 g.repeated += n if _repeats_itself(words) else 0.0
-        elif (SENTENCE_END.search(body) and len(words) >= 4) or len(words) > 12:
-            add("sentence", n, len(words), body, len(pieces), links, 0, False)
+        elif len(words) > 12 or (len(words) >= 4 and body.rstrip("\"')]").endswith(SENTENCE_ENDS)):
+            add("sentence", n, len(words), body, len(_pieces(body)), links, 0, False)
         else:
             units.append((body, n, words, True))
 
     # Short lines and listed phrases: keywords recur all over the page in changing company; a log repeats one
     # line with a number in it, and a word list doesn't recur.
-    recur: Counter = Counter()
-    templates: Counter = Counter()
-    for unit, _, words, is_line in units:
-        recur.update(set(words))
-        if is_line:
-            templates[re.sub(r"\d+", "0", unit.lower())] += 1
-    count, lines = len(units), sum(templates.values())
+    count, lines = len(units), sum(is_line for _, _, _, is_line in units)
+    recur = Counter(w for _, _, words, _ in units for w in set(words)) if count >= LIST_PIECES else Counter()
     often = max(4, 0.03 * count)
-    log = {t for t, v in templates.items() if "0" in t and v >= 8 and v >= 0.3 * lines}
-    for unit, n, words, is_line in units:
+    known = {w for w, v in recur.items() if v >= often}
+    templates = [DIGITS.sub("0", unit.lower()) if is_line and DIGITS.search(unit) else "" for unit, _, _, is_line in units]
+    log = {t for t, v in Counter(templates).items() if t and v >= 8 and v >= 0.3 * lines}
+    for (unit, n, words, is_line), template in zip(units, templates, strict=True):
         g = add("short" if is_line else "phrase", n, len(words), unit, 0, 0, 0, False)
-        if count >= LIST_PIECES:
-            g.known += sum(1 for w in words if recur[w] >= often)
-        g.logged += bool(log) and is_line and re.sub(r"\d+", "0", unit.lower()) in log
+        if known:
+            g.known += sum(map(known.__contains__, words))
+        g.logged += template in log
     return total, found
 
 

@@ -123,3 +123,57 @@ def test_words_of_a_shape_decide_together():
     shape = (2, 0, 0, 0, "none", False, "short")
     assert spam.is_listing(shape, one)
     assert not spam.is_listing(shape, many)
+
+
+ODD = ["", "a", "Élan d'été", "l’été ''x", "क्या है", "שָׁלוֹם", "携帯ケース sale", "² Ⅳ ß ſ", "x_y z1", "a  b", "a  b", "a　 \tb", "a \t\t- y", "x, - b", "a - b * c", "a   b", "p #t q", "p k=v q:w", "a • b/c", "a-b", "x 1.5", "x 0.125", "f (x)", "f(x)", "ab [c", "[a: b", "[ab]", "a | -3", "a |", "@x", "mail@x", "is:", "is: it", "50%", "50%%", "a `b`", "```", "\\alpha", "\\A", '"q", r', '"q"', "x = 1", "x =1", "a::b", "a <- b", "a  b7", "a  b", "http://x.io/a", "HTTPS://X.IO", "ftp://x", "://", "www.x.com", "WWW.X.COM", "WWW.X.COM/a", "x.org/p q.ſe/r", "x/y", "1/2", "a.b/"]
+
+
+def test_shortcuts_agree_with_the_patterns():
+    r = random.Random(7)
+    texts = ODD + [" ".join(r.choices(ODD, k=r.randint(2, 12))).strip() for _ in range(3000)]
+    plain = spam.re.compile(rf"(?:[^\W\d_]|[{spam.MARKS}'’])+")
+    assert sum(spam._symbols(t) > 0 for t in texts) > 1000
+    for t in texts:
+        low = t.lower()
+        assert spam._pieces(t) == [p for p in (s.strip() for s in spam.SEPARATOR.split(t)) if p]
+        assert (spam._symbols(t) > 0) == (spam.SYMBOLS.search(t) is not None)
+        if t.count(" ") + t.count("\\t") > spam.SYMBOL_WORDS:
+            assert spam._symbols(t) == len(spam.SYMBOLS.findall(t))
+        assert spam._links(t) == (len(spam.LINK.findall(t)) if "/" in t or "www." in t else 0)
+        if not spam.UNSPACED.search(t):
+            assert spam.words_of(low) == plain.findall(low)
+
+
+def test_separators_with_blanks():
+    """The look ahead of SEPARATOR changes no cut."""
+    r = random.Random(8)
+    plain = spam.re.compile(spam.SEPARATOR.pattern.partition("])(?:")[2][:-1])
+    for _ in range(3000):
+        t = "".join(r.choices([" ", "\t", " ", "-", "*", "a", "b1", "#", ":", "=", ",", "•", "é", "/"], k=r.randint(1, 20)))
+        assert spam.SEPARATOR.split(t) == plain.split(t)
+
+
+def test_encoded_runs_and_line_ends():
+    """Encoded data counts for nothing, wherever it stands in a line; all line ends cut."""
+    run = "aGVsbG8+/w" * 6
+    assert spam.shapes(f"x {run} y\r\n{run}\rz {run[:59]}\n")[0] == 2 + 60
+
+
+def test_costly_patterns_see_few_lines(monkeypatch):
+    """Lines that hold no sign of a pattern never reach it, so that a page of plain lines costs little."""
+    seen = []
+
+    class Watched:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def __getattr__(self, name):
+            seen.append((self.pattern.pattern, name))
+            return getattr(self.pattern, name)
+
+    for name in ("ENCODED", "LINK", "SEPARATOR", "SYMBOLS"):
+        monkeypatch.setattr(spam, name, Watched(getattr(spam, name)))
+    assert spam.spam_share("\n".join([PROSE] * 40) + "\nand/or\nprint(df)\nfit(a, b)\n" + WORDLIST) < 0.3
+    assert seen == []
+    assert spam.spam_share("\n".join(f"https://{w}.example/{w} x = {'A' * 60}\n{w}, {w} " + "of it " * 10 for w in WORDS)) > 0.1
+    assert len(set(seen)) >= 4
